@@ -7,7 +7,8 @@ documents, whose text is put together again from the other lines in their order.
 
 Blank lines are never dropped. A null text stays null. A document is a distinct doc_id
 (null is one); rows that repeat a doc_id count once for a line and are each put together
-by themselves. An empty table gives an empty result. Extra columns are kept.
+by themselves. An empty table gives an empty result. Extra columns are kept; one
+named ``n_dropped`` gives way to the count.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import fresh
+
 MOST = 10
 
 
@@ -39,10 +42,10 @@ def dedup_lines(docs: DataFrame, most: int = MOST) -> DataFrame:
     """``docs`` with frequent lines dropped from ``text``, and their number as ``n_dropped``."""
     rows = lines(docs)
     gone = rows.join(frequent(rows, most), ["h", "g", "n"], "left_semi")
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "__gone")
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    out = keyed.join(gone, keyed.doc_id.eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    cols = [F.when(F.col("__gone").isNull(), docs.text).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_dropped"]
-    return out.select(*cols, F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"))
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    th, d, t, g = fresh(docs, "th", "d", "t", "g")
+    gone = gone.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("gone").alias(g))
+    out = docs.withColumn(th, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(g, i)), "\n")
+    cols = [F.when(F.col(g).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_dropped"]
+    return out.select(*cols, F.when(F.col(g).isNull(), 0).otherwise(F.size(g)).alias("n_dropped"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.textkit import mix
-from lodestrata.runtime import cut, ship
+from lodestrata.runtime import cut, fresh, ship
 
 SEED, FAN_IN, BUCKET = 20240611, 64, 65536
 ALPHA = 0.7
@@ -121,6 +121,7 @@ def copies(docs: DataFrame, weights: dict | None = None, total: int | None = Non
 
 def mixed(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = SEED, fan_in: int = FAN_IN, bucket: int = BUCKET) -> DataFrame:
     """Every row of ``docs`` as often as its copies say, all columns as they were."""
-    c = copies(docs, weights, total, seed, fan_in, bucket).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("copies").alias("__n"))
-    out = docs.join(c, docs.doc_id.eqNullSafe(F.col("__d")) & docs.source.eqNullSafe(F.col("__s")))
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select(*[docs[x] for x in docs.columns])
+    d, s, n, i = fresh(docs, "d", "s", "n", "i")
+    c = copies(docs, weights, total, seed, fan_in, bucket).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("copies").alias(n))
+    out = docs.join(c, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)))
+    return out.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(d, s, n, i)
