@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import textkit as K
 from lodestrata.operators.graph import connected_components
-from lodestrata.runtime import cut, ship
+from lodestrata.runtime import cut, fresh, ship
 
 U = np.uint64
-BITS, RADIUS, RECALL, NODE = 256, 52, 0.92, 1024
+BITS, RADIUS, RECALL, NODE = 256, 58, 0.95, 1024
 
 
 def signatures(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -198,12 +198,12 @@ def groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, node:
 def keep_one(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, node: int = NODE) -> DataFrame:
     """``docs`` with one row of each group (the least doc_id; of repeated rows, one), all columns as they were."""
     rows, found = _grouped(docs, radius, recall, node)
-    lose = found.where("not (doc_id <=> group_id and th = keeper_th)").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
-    again = rows.where("n > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    same = (keyed.doc_id.eqNullSafe(F.col("__d"))) & (keyed["__th"] == F.col("__t"))
-    kept = keyed.join(lose, same, "left_anti")
-    once = kept.join(again, (kept.doc_id.eqNullSafe(F.col("__d"))) & (kept["__th"] == F.col("__t")), "left_anti")
-    more = kept.join(again, (kept.doc_id.eqNullSafe(F.col("__d"))) & (kept["__th"] == F.col("__t")), "left_semi")
-    more = more.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__th").orderBy("source" if "source" in docs.columns else "doc_id"))).where("__r = 1").drop("__r")
-    return once.union(more).drop("__th")
+    th, d, t, r = fresh(docs, "th", "d", "t", "r")
+    lose = found.where("not (doc_id <=> group_id and th = keeper_th)").select(F.col("doc_id").alias(d), F.col("th").alias(t))
+    again = rows.where("n > 1").select(F.col("doc_id").alias(d), F.col("th").alias(t))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t))
+    kept = docs.withColumn(th, F.xxhash64("text")).join(lose, same, "left_anti")
+    more = kept.join(again, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", th).orderBy(*[c for c, k in docs.dtypes if k in ("string", "bigint", "int", "double")]))
+    more = more.withColumn(r, first).where(F.col(r) == 1).drop(r)
+    return kept.join(again, same, "left_anti").union(more).drop(th)
