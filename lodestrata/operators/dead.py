@@ -40,8 +40,8 @@ def unused_bindings(bindings: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def hierarchy(bases: DataFrame) -> DataFrame:
-    """(class, ancestor) from (class, base), through any number of bases; cycles end."""
-    return closure(bases, "class", "base").select(F.col("src").alias("class"), F.col("dst").alias("ancestor"))
+    """(class, ancestor) from (class, base), through any number of bases; in a cycle a class isn't its own ancestor."""
+    return closure(bases, "class", "base").where("src <> dst").select(F.col("src").alias("class"), F.col("dst").alias("ancestor"))
 
 
 def overrides(methods: DataFrame, bases: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ DECLARED = {
 
 def bare(text: Column) -> Column:
     """A text without its comments; lines stay where they are."""
-    blocks = F.regexp_replace(text, r"/\*(?:[^*\n]|\*(?!/))*\*/", "")
+    blocks = F.regexp_replace(text, r"/\*(?:[^*\n]|\*(?!/))*\*/[ \t]*", "")
     return F.regexp_replace(blocks, r"(?m)(^|[^:'\"`])//[^\n]*", "$1")
 
 

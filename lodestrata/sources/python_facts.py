@@ -160,7 +160,10 @@ def extract(text: str) -> list[tuple[str, dict]]:
     except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError) as e:
         return [("issues", {"issue": f"{type(e).__name__}: {e}"[:300]})]
     out: list[tuple[str, dict]] = []
-    add = lambda kind, **row: out.append((kind, row))
+
+    def add(table: str, /, **row) -> None:
+        out.append((table, row))
+
     comments = Counter(t.start[0] for t in tokens if t.type == tokenize.COMMENT)
     exported = {x.value for n in tree.body if isinstance(n, ast.Assign) and any(_name(t) == "__all__" for t in n.targets) and isinstance(n.value, (ast.List, ast.Tuple)) for x in n.value.elts if isinstance(x, ast.Constant)}
     skip = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestrata.runtime import ship
 from lodestrata.sources.python_facts import MUTATORS, SCHEMAS
 
-TOKEN = re.compile(r"""(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)+'|`(?:[^`\\]|\\.)*`)|(?P<n>\b\d[\w.]*)|(?P<w>[A-Za-z_$][\w$]*)|(?P<o>=>|->|::|&&|\|\||\?\?|\?\.|[{}()\[\];,.:?=<>!+\-*/%&|^~@#])""", re.S)
+TOKEN = re.compile(r"""(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<n>\b\d[\w.]*)|(?P<w>[A-Za-z_$][\w$]*)|(?P<o>=>|->|::|&&|\|\||\?\?|\?\.|[{}()\[\];,.:?=<>!+\-*/%&|^~@#])""", re.S)
 NOT_NAMES = {"if", "for", "while", "switch", "catch", "match", "return", "function", "else", "do", "with", "super", "loop", "await", "typeof"}
 LOOPS, NESTS = {"for", "while", "loop", "do"}, {"if", "for", "while", "loop", "do", "switch", "match", "try", "catch"}
 SORTS = {"rust": lambda w: w.startswith("sort"), "other": lambda w: w == "sort"}
@@ -101,7 +101,7 @@ def _heads(t: list, rust: bool) -> list[tuple[str, int, int, int, int]]:
 
 def extract(text: str, language: str) -> list[tuple[str, dict]]:
     """(kind, row) of a source text."""
-    t, comments = _lex(text)
+    t, comments = _lex(re.sub(r"'([A-Za-z_]\w*)(?!')\b", r"\1", text) if language == "rust" else text)  # without lifetimes
     rust, out = language == "rust", []
     heads = [(n, s, a, b, c, _close(t, c)) for n, s, a, b, c in _heads(t, rust)]
     classes = []

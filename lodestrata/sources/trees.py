@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalar import matches_any
+from lodestrata.runtime import partitions, ship
 
 LANGUAGES = {"py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "rs": "rust", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
 GENERATED = r"(?i)(^|/)(migrations|node_modules|vendor|third_party|dist|build)/|(_pb2(_grpc)?\.pyi?|\.min\.js|\.generated\.[jt]sx?|\.d\.ts)$"
@@ -59,13 +60,24 @@ def tree(spark: SparkSession, root: str, exclude: list[str] = DEFAULT_EXCLUDE) -
 
     Names are listed on the driver, as ignore files need their folders; contents are read by the executors.
     """
+    ship(spark)
     names, issues = _ignored(root)
     known = [(n, LANGUAGES[n.rsplit(".", 1)[-1]]) for n in names if n.rsplit(".", 1)[-1] in LANGUAGES and "." in n]
     listed = spark.createDataFrame(known, "file string, language string").where(~F.col("file").rlike(GENERATED)).where(~matches_any(F.col("file"), exclude))
-    base = os.path.abspath(root).rstrip("/") + "/"
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    body = read.select(F.regexp_replace("path", "^file:/*", "/").alias("p"), F.decode("content", F.lit("UTF-8")).alias("text")).select(F.substring("p", len(base) + 1, 1 << 20).alias("file"), "text")
-    files = listed.join(body, "file")
+    base = os.path.abspath(root)
+
+    def read(batches):  # Spark's own sources skip names that begin with _, as __init__.py
+        from pyarrow import fs
+
+        disk = fs.LocalFileSystem()
+        for b in batches:
+            texts = []
+            for f in b["file"]:
+                with disk.open_input_file(f"{base}/{f}") as h:
+                    texts.append(h.readall().decode("utf-8", "replace"))
+            yield b.assign(text=texts)
+
+    files = listed.repartition(partitions(spark), "file").mapInPandas(read, "file string, language string, text string")
     head = F.array_join(F.slice(F.split("text", "\n"), 1, 6), "\n")
     lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return files.where(~head.rlike(HEADER)).withColumn("lines", lines), spark.createDataFrame([(root, i) for i in issues], "file string, issue string")
