@@ -44,6 +44,16 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
+def _blocks(n: int, width: int) -> list[slice]:
+    """Row ranges whose distances to ``width`` points take some 16 MB."""
+    step = max(1, (4 << 20) // max(1, width))
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+
+
+def _nearest(v: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.concatenate([_square(v[b], points).argmin(axis=1) for b in _blocks(len(v), len(points))] or [np.zeros(0, np.int64)])
+
+
 def unit_vectors(table: DataFrame) -> tuple[DataFrame, int]:
     """(id, v): the usable vectors, scaled, as bytes; and their dimension, the most frequent one."""
     ship(table.sparkSession)
@@ -106,13 +116,13 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
 
         def coarse(b, cent=cent):
             v = _matrix(b.column("v"), dim)
-            return _square(v, cent).argmin(axis=1), v
+            return _nearest(v, cent), v
 
         new = _means(vectors, coarse, k, dim)
         cent = np.where(np.isnan(new), cent, new).astype(np.float32)
 
     def residual(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = _square(v, cent).argmin(axis=1)
+        cell = _nearest(v, cent)
         return cell, v - cent[cell]
 
     book = residual(start[:codes])[1].reshape(-1, m, sub).transpose(1, 0, 2).copy()
@@ -149,10 +159,13 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
     def probes(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lists that each vector probes; of two lists that reach into each other the first probes the second."""
         v = _matrix(b.column("v"), dim)
-        hit = np.sqrt(_square(v, cent)) <= radius + reach + SLACK
-        hit &= np.arange(k) >= b.column("cell").to_numpy()[:, None]
-        q, cell = np.nonzero(hit)
-        return v, q, cell
+        own, q, cell = b.column("cell").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s in _blocks(len(v), k):
+            hit = np.sqrt(_square(v[s], cent)) <= radius + reach + SLACK
+            x, y = np.nonzero(hit & (np.arange(k) >= own[s, None]))
+            q.append(x + s.start)
+            cell.append(y)
+        return v, np.concatenate(q), np.concatenate(cell)
 
     def count(batches):
         for b in batches:
