@@ -2,8 +2,8 @@
 
 The n-grams (words as in textkit) of the test items form a sorted hash set that goes to
 the executors while it holds at most ``broadcast_limit`` entries; beyond that the windows
-are matched by a shuffled join on their hashes. Either way each hit is verified word by
-word. Overlapping or touching windows form one span. An item with fewer than ``n`` words,
+are first joined on their hashes by a shuffle, and only the test n-grams that occur in the
+documents at all go on. Either way each hit is verified word by word. Overlapping or touching windows form one span. An item with fewer than ``n`` words,
 but ``shortest`` at least, is looked for as a whole; shorter items are never looked for.
 
 Null or empty texts have no windows. Repeated documents have equal spans, repeated items
@@ -22,7 +22,7 @@ from lodestrata.llm import textkit as K
 from lodestrata.runtime import cut, ship
 
 N, SHORTEST = 8, 5
-BROADCAST_LIMIT = 2_000_000
+BROADCAST_LIMIT = 200_000
 PATTERN = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
 
 
