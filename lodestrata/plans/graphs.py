@@ -51,10 +51,10 @@ def dead_parts_tiered(spark, sf_dir):
     return dead.dead_symbols(symbols, _refs(spark, sf_dir))
 
 
-@query("SELECT c_custkey AS line, c_name AS name, 'c' || c_nationkey AS file FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS line, c_name AS name, 'c' || c_nationkey AS file FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def unused_customers(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("file"), F.col("c_name").alias("name"), F.col("c_custkey").alias("line"), F.lit("runtime").alias("phase"), F.lit(False).alias("is_inline"), (F.col("c_mktsegment") == "MACHINERY").alias("exported"), F.lit(False).alias("is_package_index"))
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("n"))
     uses = o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     uses = uses.select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("file"), F.col("c_name").alias("name"), "n")
     return dead.unused_bindings(c, uses).select("line", "name", "file")
