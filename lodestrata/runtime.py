@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,19 +15,23 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once an application, as they may not have it installed."""
+    """Give this package to the Python workers through the shared folder, once an application, as they may not have it installed."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
-    root = os.path.dirname(os.path.abspath(__file__))
-    held = os.path.join(tempfile.mkdtemp(prefix="lodestrata-code-"), "lodestrata.zip")
-    with zipfile.ZipFile(held, "w") as z:
+    root, packed = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, files in os.walk(root):
             for f in sorted(files):
                 if f.endswith(".py"):
                     z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
-    sc.addPyFile(held)
+    base = shared_dir(spark)
+    system, where = fs.FileSystem.from_uri(base if ":" in base else f"file://{base}")
+    system.create_dir(where, recursive=True)
+    with system.open_output_stream(f"{where}/lodestrata.zip") as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(f"{base}/lodestrata.zip")
 
 
 def shared_dir(spark: SparkSession) -> str:
