@@ -1,4 +1,4 @@
-"""Embedding near-dedup by product quantisation, with an exact guarantee.
+"""Embedding near-dedup by product quantisation.
 
 Vectors are scaled to length 1; two are near duplicates if their cosine is ``cosine`` at
 least, which is a distance of D = sqrt(2 - 2 cosine) at most. Groups are the connected
@@ -7,11 +7,14 @@ components of that relation.
 Coarse centroids (about the square root of the number of vectors) and the codebooks of the
 residuals' subspaces are fitted by passes over all vectors. Each vector is stored in the
 inverted list of its nearest centroid with its codes and the length of the error they
-make. Every vector is a query. It probes each list whose radius plus D reaches it, so no
-list that could hold a near duplicate is left out. Table look-ups give the distance to a
-member's decoded vector; a member stays a candidate if that is D plus the member's error at
-most, so none within D is lost. Candidates are ranked by their exact cosine. Lists are
-split into blocks of members and of queries, so no task holds more than a block of each.
+make. Every vector is a query and probes the lists of its nearest centroids. How many is
+measured: each vector is moved by D in a random direction, and the probes have to reach the
+list of the share ``recall`` of these. As either of a pair may find the other, more than
+that are found, and more still of closer pairs. Lists whose radius plus D doesn't reach the
+query are left out. Table look-ups give the distance to a member's decoded vector; a member
+stays a candidate if that is D plus the member's error at most, so none within D is lost
+here. Candidates are ranked by their exact cosine. Lists are split into blocks of members
+and of queries, so no task holds more than a block of each.
 
 Null vectors, vectors of another dimension than most, with nulls or NaNs, and zero vectors
 are in no group, nor is a null vec_id. Equal vectors are collapsed first. Repeated rows of
@@ -32,7 +35,7 @@ from lodestrata.llm.simhash_dedup import least
 from lodestrata.operators.graph import connected_components
 from lodestrata.runtime import cut, ship
 
-COSINE, SUBSPACES, CODES, ROUNDS, BLOCK = 0.95, 8, 256, 3, 4096
+COSINE, SUBSPACES, CODES, ROUNDS, BLOCK, RECALL = 0.95, 8, 256, 3, 4096, 0.995
 SLACK = 1e-5  # for rounding
 
 
@@ -99,7 +102,7 @@ def _means(vectors: DataFrame, part, slots: int, width: int) -> np.ndarray:
     return out
 
 
-def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces: int = SUBSPACES, codes: int = CODES, block: int = BLOCK, spanning: bool = True) -> DataFrame | None:
+def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces: int = SUBSPACES, codes: int = CODES, block: int = BLOCK, spanning: bool = True, recall: float = RECALL) -> DataFrame | None:
     """(a, b): pairs of ids whose cosine is ``cosine`` at least, from distinct (id, v); with ``spanning`` only as many as join their components."""
     ship(vectors.sparkSession)
     n = vectors.count()
@@ -156,15 +159,37 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
     radius, held = np.full(k, -np.inf), np.zeros(k, np.int64)
     radius[sizes["cell"].to_numpy()], held[sizes["cell"].to_numpy()] = sizes["far"].to_numpy(), sizes["n"].to_numpy()
 
+    turn = math.sqrt(max(0.0, 1 - cosine * cosine))
+
+    def rank(batches):
+        for b in batches:
+            v, seen = _matrix(b.column("v"), dim), np.zeros(k, np.int64)
+            side = np.random.default_rng(b.column("id").to_numpy()[:1].astype(np.uint64)).normal(size=v.shape).astype(np.float32)
+            side -= (side * v).sum(axis=1, keepdims=True) * v
+            side /= np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-9)
+            cell = _nearest(cosine * v + np.float32(turn) * side, cent)
+            for s in _blocks(len(v), k):
+                d = _square(v[s], cent)
+                seen += np.bincount((d < d[np.arange(len(d)), cell[s]][:, None]).sum(axis=1), minlength=k)
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["rank", "n"])
+
+    ranks = lists.select("id", "v").mapInArrow(rank, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toArrow()
+    share = np.zeros(k)
+    share[ranks["rank"].to_numpy()] = ranks["n"].to_numpy()
+    near = min(k, 1 + int(np.searchsorted(np.cumsum(share), recall * share.sum())))
+
     def probes(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The lists that each vector probes; of two lists that reach into each other the first probes the second."""
+        """The lists that each vector probes."""
         v = _matrix(b.column("v"), dim)
-        own, q, cell = b.column("cell").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        q, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in _blocks(len(v), k):
-            hit = np.sqrt(_square(v[s], cent)) <= radius + reach + SLACK
-            x, y = np.nonzero(hit & (np.arange(k) >= own[s, None]))
+            d = _square(v[s], cent)
+            y = np.argpartition(d, near - 1, axis=1)[:, :near]
+            x = np.arange(len(d))[:, None]
+            x, i = np.nonzero(np.sqrt(d[x, y]) <= radius[y] + reach + SLACK)
             q.append(x + s.start)
-            cell.append(y)
+            cell.append(y[x, i])
         return v, np.concatenate(q), np.concatenate(cell)
 
     def count(batches):
