@@ -55,6 +55,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over the session's shuffle width if its scan has fewer tasks, as of one small file; else as it is."""
+    width = partitions(df.sparkSession)
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
