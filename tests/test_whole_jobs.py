@@ -50,3 +50,25 @@ def test_any_order_uses_a_customer(ask):
     customers = [{"c_custkey": k, "c_name": f"n{k}", "c_nationkey": 1, "c_mktsegment": "BUILDING"} for k in (1, 2, 3)]
     orders = [{"o_custkey": 1, "o_orderpriority": "1-URGENT"}, {"o_custkey": 2, "o_orderpriority": "5-LOW"}]
     assert ask("unused_customers", customer=customers, orders=orders) == [(3, "n3", "c1")]
+
+
+def trade(flows):
+    """Tables in which nation a buys from nation b as many lines as flows has for (a, b)."""
+    nations = sorted({x for e in flows for x in e})
+    lines = [{"l_orderkey": a, "l_suppkey": b} for (a, b), n in flows.items() for _ in range(n)]
+    return {
+        "lineitem": lines, "orders": [{"o_orderkey": k, "o_custkey": k} for k in nations], "customer": [{"c_custkey": k, "c_nationkey": k} for k in nations], "supplier": [{"s_suppkey": k, "s_nationkey": k} for k in nations],
+        "nation": [{"n_nationkey": k, "n_name": f"N{k}", "n_regionkey": int(k > 3)} for k in nations], "region": [{"r_regionkey": 0, "r_name": "AMERICA"}, {"r_regionkey": 1, "r_name": "ASIA"}],
+    }
+
+
+FOURTH = {(0, 1): 4, (0, 2): 4, (0, 3): 4, (0, 4): 1, (4, 0): 1}
+
+
+@pytest.mark.parametrize("name, want", [
+    ("class_closure", {(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (4, 0), (4, 1), (4, 2), (4, 3), (4, 4)}), ("live_closure", {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1)}), ("scc_next_hop", {(0, 0, 4), (4, 0, 0)}),
+    ("boundary_violations", {("AMERICA.N0", "ASIA.N4", "america to asia")}), ("trade_scc", {(0, (0, 4), 2)}),
+])
+def test_fourth_partners_are_edges(ask, name, want):
+    got = ask(name, **trade(FOURTH))
+    assert {tuple(tuple(c) if isinstance(c, list) else c for c in x[: len(next(iter(want)))]) for x in got} == want
