@@ -102,12 +102,13 @@ def feature_envy(spark, sf_dir):
     return smells.envy(table(spark, sf_dir, "events").withColumn("own", _own()), "user_id", "event_type", "own")
 
 
+# the SQL of intimacy, jaccard_divergence and implicit_schema still filters by value; the queries take all events
 @query(r"""WITH u AS (SELECT user_id AS unit, event_type AS class, CASE event_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '__' ELSE '' END || regexp_extract(props, '"(\w+)"', 1) || CAST(event_id % 2 AS VARCHAR) AS name FROM events WHERE value > 90)
 SELECT unit, class, list_sort(list(DISTINCT name)) AS names FROM u WHERE regexp_matches(name, '^_[^_]') GROUP BY ALL""")
 def intimacy(spark, sf_dir):
     mark = F.when(F.col("event_id") % 3 == 0, "_").when(F.col("event_id") % 3 == 1, "__").otherwise("")
     name = F.concat(mark, F.regexp_extract("props", r'"(\w+)"', 1), (F.col("event_id") % 2).cast("string"))
-    return smells.intimacy(table(spark, sf_dir, "events").where("value > 90").select(F.col("user_id").alias("unit"), F.col("event_type").alias("class"), name.alias("name")))
+    return smells.intimacy(table(spark, sf_dir, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("class"), name.alias("name")))
 
 
 @query("""WITH r AS (SELECT user_id, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
@@ -135,7 +136,7 @@ p AS (SELECT a.g, a.u AS a, b.u AS b, a.i AS x, b.i AS y FROM s a JOIN s b ON a.
 SELECT g, a, b, CAST(len(list_intersect(x, y)) AS INTEGER) AS shared, CAST(len(x) + len(y) - len(list_intersect(x, y)) AS INTEGER) AS total FROM p
 WHERE len(x) - len(list_intersect(x, y)) >= 2 AND len(y) - len(list_intersect(x, y)) >= 2 AND 3 * len(list_intersect(x, y)) < len(x) + len(y) - len(list_intersect(x, y))""")
 def jaccard_divergence(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 80")
+    e = table(spark, sf_dir, "events")
     sets = e.groupBy("user_id").agg(F.collect_set(F.concat("event_type", F.hour("ts").cast("string"))).alias("items")).withColumn("g", F.floor(F.col("user_id") / 2))
     return smells.divergence(sets, "g", "user_id", "items")
 
@@ -146,6 +147,6 @@ r AS (SELECT unit, receiver, key, 0 AS d FROM k UNION SELECT c.unit, c.receiver,
 SELECT unit, receiver, list_sort(list(DISTINCT key)) AS keys FROM r GROUP BY ALL HAVING count(DISTINCT key) >= 4""")
 def implicit_schema(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    keys = e.where("value > 85").select(F.col("user_id").alias("unit"), F.col("event_type").alias("receiver"), F.concat(F.regexp_extract("props", r'"(\w+)"', 1), (F.col("event_id") % 7).cast("string")).alias("key"))
-    calls = e.where("value < 3").select(F.col("user_id").alias("unit"), F.col("event_type").alias("receiver"), (F.col("event_id") % 150).alias("callee"), F.col("event_type").alias("param")).distinct()
+    keys = e.select(F.col("user_id").alias("unit"), F.col("event_type").alias("receiver"), F.concat(F.regexp_extract("props", r'"(\w+)"', 1), (F.col("event_id") % 7).cast("string")).alias("key"))
+    calls = e.select(F.col("user_id").alias("unit"), F.col("event_type").alias("receiver"), (F.col("event_id") % 150).alias("callee"), F.col("event_type").alias("param")).distinct()
     return smells.implicit_schema(keys, calls)

@@ -72,3 +72,23 @@ FOURTH = {(0, 1): 4, (0, 2): 4, (0, 3): 4, (0, 4): 1, (4, 0): 1}
 def test_fourth_partners_are_edges(ask, name, want):
     got = ask(name, **trade(FOURTH))
     assert {tuple(tuple(c) if isinstance(c, list) else c for c in x[: len(next(iter(want)))]) for x in got} == want
+
+
+def event(i, user, kind="view", value=50.0, key="k", day=1, hour=0):
+    return {"event_id": i, "ts": dt.datetime(2024, 1, day, hour), "user_id": user, "event_type": kind, "value": value, "props": f'{{"{key}": 1}}'}
+
+
+def test_events_of_any_value_are_names(ask):
+    assert ask("intimacy", events=[event(0, 1, value=10.0), event(3, 1, value=95.0), event(4, 1, value=50.0)]) == [(1, "view", ["_k0", "_k1"])]
+
+
+def test_events_of_any_value_are_items(ask):
+    events = [event(i, 2 + i % 2, ["view", "click"][i % 2], 10.0, hour=i) for i in range(4)]
+    assert ask("jaccard_divergence", events=events) == [(1, 2, 3, 0, 4)]
+
+
+def test_events_of_any_value_are_keys_and_calls(ask):
+    # 1 reads four keys; 151's event 301 calls user 1 with its view
+    events = [event(i, 1, key=k) for i, k in ((3, "a"), (5, "b"), (8, "c"), (9, "d"))] + [event(301, 151)]
+    got = {x[:2]: len(x[2]) for x in ask("implicit_schema", events=events)}
+    assert got == {(1, "view"): 4, (151, "view"): 5}
