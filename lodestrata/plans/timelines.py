@@ -141,13 +141,14 @@ def reintroduction_rate(spark, sf_dir):
     return temporal.reintroduction(lives.where("resolved is not null"), lives.where("back is not null").withColumn("held", F.col("held") * temporal.DAY))
 
 
+# the SQL still filters both halves by value; the queries split all events by date alone
 HALVES = """b AS (SELECT DISTINCT user_id, event_type FROM events WHERE day(ts) <= 15 AND value > 95), o AS (SELECT DISTINCT user_id, event_type FROM events WHERE day(ts) > 15 AND value > 60)"""
 
 
 def _halves(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("fp", F.xxhash64("user_id", "event_type"))
     late = F.dayofmonth("ts") > 15
-    return e.where(~late & (F.col("value") > 95)).select("fp", "user_id", "event_type").distinct(), e.where(late & (F.col("value") > 60)).select("fp", "user_id", "event_type").distinct()
+    return e.where(~late).select("fp", "user_id", "event_type").distinct(), e.where(late).select("fp", "user_id", "event_type").distinct()
 
 
 @query(f"""WITH {HALVES} SELECT count(*) AS blocked, count(*) FILTER (NOT f) AS fixed, floor(count(*) FILTER (NOT f) / count(*) * 100 + 0.5) / 100 AS rate FROM (SELECT EXISTS (SELECT 1 FROM o WHERE o.user_id = b.user_id AND o.event_type = b.event_type) AS f FROM b)""")

@@ -92,3 +92,14 @@ def test_events_of_any_value_are_keys_and_calls(ask):
     events = [event(i, 1, key=k) for i, k in ((3, "a"), (5, "b"), (8, "c"), (9, "d"))] + [event(301, 151)]
     got = {x[:2]: len(x[2]) for x in ask("implicit_schema", events=events)}
     assert got == {(1, "view"): 4, (151, "view"): 5}
+
+
+@pytest.mark.parametrize("name, want", [
+    ("gate_conversion", [(2, 1, 0.5)]), ("regressions", [(1, "view")]), ("gate_memory", [(3, "click")]), ("suppression", [(3, "click")]),
+    ("triage_upsert", [(1, "view", "debt"), (2, "view", "debt"), (3, "purchase", "false_positive")]),
+])
+def test_halves_have_events_of_any_value(ask, name, want):
+    # 1 is seen in both halves, 2 in the first and 3 in the second, all at a value of 10
+    third = "purchase" if name == "triage_upsert" else "click"
+    events = [event(1, 1, value=10.0), event(2, 2, value=10.0), event(3, 1, value=10.0, day=20), event(4, 3, third, 10.0, day=20)]
+    assert sorted(ask(name, events=events)) == want
