@@ -76,11 +76,12 @@ def rule_summary(spark, sf_dir):
     return report.per_rule(all_findings(spark, sf_dir))
 
 
+# the SQL still leaves a third of the documents unchanged; the queries take a range of every one
 CHANGED = """changed AS (SELECT source || '/' || lang || '/d' || doc_id AS file, n_chars % 80 AS lo, n_chars % 80 + 9 AS hi FROM documents WHERE doc_id % 3 <> 1)"""
 
 
 def _changed(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 1")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("file"), (F.col("n_chars") % 80).alias("lo"), (F.col("n_chars") % 80 + 9).alias("hi"))
 
 

@@ -103,3 +103,20 @@ def test_halves_have_events_of_any_value(ask, name, want):
     third = "purchase" if name == "triage_upsert" else "click"
     events = [event(1, 1, value=10.0), event(2, 2, value=10.0), event(3, 1, value=10.0, day=20), event(4, 3, third, 10.0, day=20)]
     assert sorted(ask(name, events=events)) == want
+
+
+def doc(i, text, n_chars):
+    return {"doc_id": i, "text": text, "lang": "en", "source": "src1", "n_chars": n_chars}
+
+
+def test_every_document_has_a_changed_range(ask):
+    # doc_id 1 and 4 are 1 modulo 3; a copy of doc_id d starts at n_chars % 80 + d % 20
+    rows = [doc(1, "a b", 3), doc(4, "a b", 3), doc(7, "c", 3), doc(27, "c", 83)]
+    assert sorted(ask("provenance", documents=rows)) == [(1, "2 copies in this change"), (7, "2 copies in this change")]
+
+
+@pytest.mark.parametrize("name", ["diff_interval_join", "diff_filter"])
+def test_findings_of_every_document_are_touched(ask, name):
+    rows = [doc(i, "1 " + "\n" * 20 + str(i), 0) for i in (1, 2, 4)]
+    got = ask(name, documents=rows, lineitem=[line(1, 1)], part=[part(1)])
+    assert {x[3] for x in got if x[0] == "smell"} == {"1", "2", "4"}
