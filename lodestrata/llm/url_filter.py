@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.runtime import cut, partitions, ship
 
-#: Production rules: (host, path prefix or None, action). Host rules hold for subdomains too.
+#: Names of junk hosts, and the domains under each of which they are dropped with their subdomains.
+JUNK = ["casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"]
+DOMAINS = ["example.com", "example.net", "example.org"]
+
+#: Production rules: (host, path prefix or None, action). Host rules hold for subdomains too. No rule drops a domain.
 RULES = [
-    ("spam-farm.example.org", None, "drop"),
-    ("cheap-pills.example.com", None, "drop"),
-    ("example.net", None, "drop"),
+    *((f"{name}.{domain}", None, "drop") for name in JUNK for domain in DOMAINS),
     ("blog.ththan.example.net", None, "keep"),
     ("ththan.example.net", "/en/", "keep"),
     ("ththan.example.net", "/en/7", "drop"),
