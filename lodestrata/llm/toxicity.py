@@ -6,18 +6,21 @@ least hashed id (a documented bound, the only one); each coordinate has its own
 the L1 term leaves some hundred non-zero weights, which go to the executors.
 Scoring reads every document whole, in one pass without a shuffle.
 
-Null or empty texts have no features: their score is that of the bias alone. Null labels
-and labels of unknown documents aren't used; a document labelled more than once counts as
-toxic if any label says so. Without any labelled document every score is 0.5 and nothing
-is flagged (a score has to exceed the threshold). Repeated rows are scored alike. Extra
-columns are ignored by :func:`score` and kept by :func:`keep_clean`.
+A document is flagged if its score exceeds the threshold and at least one weight spoke for
+it: the bias alone flags nothing. So null and empty texts, and texts of unknown words only,
+are never flagged, whatever the labels are. Null labels and labels of unknown documents
+aren't used; a document labelled more than once counts as toxic if any label says so.
+Without labelled documents of both kinds there is no model: it has no weights, every score
+is 0.5 and nothing is flagged. Very long texts are read whole; one takes memory in
+proportion to its words. Repeated rows and equal texts are scored alike; equal scores need
+no order. An empty table gives an empty result. Extra columns are ignored by :func:`score`
+and kept by :func:`keep_clean`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +90,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
                 idx, doc = distinct(*features(w, bits), bits)
                 feats += np.split(idx.astype(np.int32), np.searchsorted(doc, np.arange(1, part.num_rows)))
                 y += part.column("__toxic").to_pylist()
-        bias, at, value = ftrl(feats, np.array(y, dtype=float), bits, alpha, beta, l1, l2, epochs) if y else (0.0, np.zeros(0, np.int64), np.zeros(0))
+        known = np.array(y, dtype=float).clip(0, 1)
+        learns = len(np.unique(known)) == 2
+        bias, at, value = ftrl(feats, known, bits, alpha, beta, l1, l2, epochs) if learns else (0.0, np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_pydict({"at": np.append(at, -1), "w": np.append(value, bias)})
 
     got = rows.mapInArrow(fit, "at long, w double").toArrow()
@@ -96,12 +101,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
 
 
 def scorer(model: tuple[float, np.ndarray, np.ndarray], bits: int = BITS):
-    """A function from a text column to scores."""
+    """A function from a text column to scores, and whether any weight spoke for them."""
     bias, at, value = model
 
-    def run(col: pa.Array) -> np.ndarray:
+    def run(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = K.words(col)
-        total = np.full(len(w.off) - 1, bias)
+        total, heard = np.full(len(w.off) - 1, bias), np.zeros(len(w.off) - 1, bool)
         if len(at):
             dense = np.zeros(1 << bits, np.float32)
             dense[at] = value
@@ -109,7 +114,8 @@ def scorer(model: tuple[float, np.ndarray, np.ndarray], bits: int = BITS):
             hit = dense[idx] != 0
             idx, doc = distinct(idx[hit], doc[hit], bits)
             total += np.bincount(doc, dense[idx].astype(float), minlength=len(total))
-        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+            heard[doc] = True
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35))), heard
 
     return run
 
@@ -122,8 +128,8 @@ def score(docs: DataFrame, model, bits: int = BITS, threshold: float = THRESHOLD
     def run(batches):
         for b in batches:
             for part in K.slices(b):
-                s = f(part.column("text"))
-                yield pa.RecordBatch.from_arrays([K.column(part, "doc_id").cast(pa.int64()), pa.array(s), pa.array(s > threshold)], ["doc_id", "score", "toxic"])
+                s, heard = f(part.column("text"))
+                yield pa.RecordBatch.from_arrays([K.column(part, "doc_id").cast(pa.int64()), pa.array(s), pa.array((s > threshold) & heard)], ["doc_id", "score", "toxic"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, toxic boolean")
 
@@ -136,6 +142,7 @@ def keep_clean(docs: DataFrame, model, bits: int = BITS, threshold: float = THRE
     def run(batches):
         for b in batches:
             for part in K.slices(b):
-                yield part.filter(pa.array(f(part.column("text")) <= threshold))
+                s, heard = f(part.column("text"))
+                yield part.filter(pa.array((s <= threshold) | ~heard))
 
     return docs.mapInArrow(run, docs.schema)

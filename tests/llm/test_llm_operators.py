@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, suffix_dedup, token_records, toxicity, url_filter
 from lodestrata.llm import repeats as R
@@ -104,12 +105,27 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
     assert toxicity.keep_clean(docs, model).count() == docs.count() - all_.where("toxic").count()
     assert toxicity.score(nothing, model).count() == 0
-    none = toxicity.train(docs, labels.limit(0))
-    assert not toxicity.score(docs, none, threshold=0.5).where("toxic").count()
+    one_kind = [labels.limit(0), labels.withColumn("toxic", F.lit(1)), labels.withColumn("toxic", F.lit(0)), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("doc_id", F.col("doc_id") + 10**9)]
+    for none in (toxicity.train(d, x) for x in one_kind):
+        assert not toxicity.score(docs, none).where("toxic").count() and toxicity.keep_clean(docs, none).count() == docs.count()
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 1), (2, 0), (999, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, odd)[0] is not None
 
 
+def test_toxicity_of_nothing_said(spark):
+    """Null, empty and wordless texts are kept however many labels are toxic; repeated rows and long texts are judged like one."""
+    bad, good = "awful vile slur words", "kind calm plain words"
+    rows = [(i, bad if i % 10 else good) for i in range(200)] + [(900, None), (901, ""), (902, " \n!"), (903, bad), (903, bad), (904, " ".join([bad] * 50_000)), (905, " ".join([good] * 50_000))]
+    d = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels, l1=1.0)
+    assert 1 / (1 + np.exp(-model[0])) > toxicity.THRESHOLD
+    got = Counter((x["doc_id"], x["toxic"]) for x in toxicity.score(d, model).where("doc_id >= 900").collect())
+    assert got == {(900, False): 1, (901, False): 1, (902, False): 1, (903, True): 2, (904, True): 1, (905, False): 1}
+    kept = toxicity.keep_clean(d, model)
+    assert kept.columns == d.columns and {x["doc_id"] for x in kept.where("doc_id >= 900").collect()} == {900, 901, 902, 905}
+
+
 def test_toxicity_full_model(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
