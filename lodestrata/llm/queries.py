@@ -62,11 +62,17 @@ WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{decontaminate.PATTERN}
 
 
 def _rules_sql() -> str:
-    return ", ".join(f"('{url_filter.rule_prefix(h, p)}', '{a}')" for h, p, a in url_filter.RULES)
+    """The rules as a table; those of the junk hosts' sections as a product of lists."""
+    junk, domains, langs = (f"(VALUES {', '.join(f'({x!r})' for x in xs)})" for xs in (url_filter.JUNK, url_filter.DOMAINS, url_filter.LANGUAGES))
+    pages = "(SELECT '' AS n UNION ALL SELECT CAST(range AS VARCHAR) FROM range(10) UNION ALL SELECT lpad(CAST(range AS VARCHAR), 2, '0') FROM range(100))"
+    own = [(h, p, a) for h, p, a in url_filter.RULES if p is None or not any(h.startswith(f"{name}.") for name in url_filter.JUNK)]
+    listed = ", ".join(f"('{url_filter.rule_prefix(h, p)}', '{a}')" for h, p, a in own)
+    return f"""SELECT * FROM (VALUES {listed}) UNION ALL
+    SELECT array_to_string(list_reverse(string_split(d.x, '.')), ',') || ',' || j.x || ', /' || l.x || '/' || p.n, 'drop' FROM {junk} j(x), {domains} d(x), {langs} l(x), {pages} p"""
 
 
 OP1 = f"""
-WITH rules(prefix, action) AS (VALUES {_rules_sql()}),
+WITH rules(prefix, action) AS ({_rules_sql()}),
 cut AS (SELECT page_id, trim(url) AS u FROM pages),
 parts AS (SELECT page_id,
     lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,

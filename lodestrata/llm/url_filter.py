@@ -7,18 +7,27 @@ an interval of the sorted keys, and intervals either nest or lie apart.
 
 Pages and rules are range-partitioned by key and sorted together. Each partition is swept
 once with a stack of the rules that are open: a rule is pushed at its key and popped at the
-first key that it isn't a prefix of. Rules that are open when a partition begins are
-prefixes of its first key, so they are found by joining the prefixes of these first keys
-with the rules, and put on the stack first. The innermost open rule decides.
-
-Null, empty or hostless URLs are matched by no rule. Pages without a rule are kept.
-Repeated rows of pages each have a row in the result. Of rules with equal prefixes the
-least action counts ("drop" before "keep" in no other way than by name). Null prefixes are
-ignored. Without rules every page is kept. Extra columns of pages are ignored.
+first key that it isn't a prefix of. Python only stops where the stack changes; the pages
+between two such places are found by binary search and filled in at once. Rules that are
+open when a partition begins are prefixes of its first key: that key is cut to each length
+that rules have, no longer than itself, and joined with the rules.
+
+Hosts are lower-cased; user names, ports, empty labels and fragments are dropped. Percent
+escapes and international names stay as they are written.
+
+Null, empty or hostless URLs are matched by no rule. Pages without a rule are kept. Very
+long URLs have keys like others; only their range of the sort order is moved. Repeated
+rows of pages, and pages with equal URLs, each have a row in the result, as page_id is never
+compared. Of rules with equal prefixes the least action counts ("drop" before "keep" in no
+other way than by name). Null prefixes are ignored. Without rules every page is kept;
+without pages the result is empty. Extra columns of pages are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +38,14 @@ from lodestrata.runtime import cut, partitions, ship
 JUNK = ["casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"]
 DOMAINS = ["example.com", "example.net", "example.org"]
 
+LANGUAGES = ["de", "en", "es", "fr"]
+
 #: Production rules: (host, path prefix or None, action). Host rules hold for subdomains too. No rule drops a domain.
+#: Each junk host also has rules for its language sections and their numbered pages by their first one and two digits,
+#: so a result names the narrowest section that a page was dropped for.
 RULES = [
     *((f"{name}.{domain}", None, "drop") for name in JUNK for domain in DOMAINS),
+    *((f"{name}.{domain}", f"/{lang}/{page}", "drop") for name in JUNK for domain in DOMAINS for lang in LANGUAGES for page in ["", *range(10), *(f"{x:02d}" for x in range(100))]),
     ("blog.ththan.example.net", None, "keep"),
     ("ththan.example.net", "/en/", "keep"),
     ("ththan.example.net", "/en/7", "drop"),
@@ -72,27 +86,39 @@ def filter_urls(pages: DataFrame, rule_table: DataFrame, n: int | None = None) -
     ranged = both.repartitionByRange(width, "key", "kind").sortWithinPartitions("key", "kind")
     ranged = cut(ranged.withColumn("part", F.spark_partition_id()))
     first = ranged.groupBy("part").agg(F.min(F.struct("key", "kind")).alias("f")).select("part", F.col("f.key").alias("first"), F.col("f.kind").alias("kind"))
-    tried = first.select("part", "first", "kind", F.explode(F.sequence(F.lit(1), F.length("first"))).alias("k"))
-    tried = tried.select("part", "first", "kind", F.expr("left(first, k)").alias("prefix"))
-    carried = tried.join(r, "prefix").where("prefix < first or kind = 1").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("prefix", "action"))).alias("held"))
+    lens = [x[0] for x in r.select(F.length("prefix")).distinct().collect()]  # a number for each length of a rule
+    tried = first.select("part", "first", "kind", F.explode(F.filter(F.lit(lens).cast("array<int>"), lambda k: k <= F.length("first"))).alias("k"))
+    tried = tried.select("part", "kind", F.expr("left(first, k)").alias("prefix"), (F.col("k") < F.length("first")).alias("shorter"))
+    carried = tried.join(r, "prefix").where("shorter or kind = 1").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("prefix", "action"))).alias("held"))
     begin = {x["part"]: [tuple(y) for y in x["held"]] for x in carried.collect()}  # nested prefixes of one key for each partition
 
     def sweep(batches):
         at, stack = None, []
         for b in batches:
-            ids, actions, names, opened = [], [], [], []
-            for k, kind, page, action, part in zip(*(b.column(c).to_pylist() for c in ("key", "kind", "page_id", "action", "part"))):
-                if part != at:
-                    at, stack = part, list(begin.get(part, ()))
-                while stack and not k.startswith(stack[-1][0]):
-                    stack.pop()
-                if kind == 0:
-                    stack.append((k, action))
-                else:
-                    ids.append(page)
-                    actions.append(stack[-1][1] if stack else "keep")
-                    names.append(stack[-1][0] if stack else None)
-                    opened.append(len(stack))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(actions, pa.string()), pa.array(names, pa.string()), pa.array(opened, pa.int32())], ["page_id", "action", "rule", "n_open"])
+            keys, kind, actions = b.column("key").to_pylist(), b.column("kind").to_numpy(), b.column("action").to_pylist()
+            parts = b.column("part").to_numpy()
+            n, state, states = len(keys), np.zeros(len(keys), np.int64), []
+            for s in [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist()] if n else []:
+                if parts[s] != at:
+                    at, stack = int(parts[s]), list(begin.get(int(parts[s]), ()))
+                end = int(np.searchsorted(parts[s:] != at, True)) + s
+                for e in [*(np.flatnonzero(kind[s:end] == 0) + s).tolist(), end]:
+                    while s < e:  # pages up to the next rule
+                        to = bisect_left(keys, True, s, e, key=lambda k: not k.startswith(stack[-1][0])) if stack else e
+                        if to == s:
+                            stack.pop()
+                            continue
+                        state[s:to] = len(states)
+                        states.append((stack[-1][1], stack[-1][0], len(stack)) if stack else ("keep", None, 0))
+                        s = to
+                    if e < end:
+                        while stack and not keys[e].startswith(stack[-1][0]):
+                            stack.pop()
+                        stack.append((keys[e], actions[e]))
+                        s = e + 1
+            pages_ = pa.array(np.flatnonzero(kind == 1))
+            state = pa.array(state).take(pages_)
+            said, names, opened = zip(*states) if states else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("page_id").take(pages_), pa.array(said, pa.string()).take(state), pa.array(names, pa.string()).take(state), pa.array(opened, pa.int32()).take(state)], ["page_id", "action", "rule", "n_open"])
 
     return ranged.mapInArrow(sweep, "page_id long, action string, rule string, n_open int").union(lost)

@@ -72,8 +72,8 @@ def test_words(texts):
 def test_url_filter(spark):
     r = random.Random(1)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "a.com.au", "ba.com", "X.B.A.com"]
-    urls = [f"https://{r.choice(['', 'u@'])}{r.choice(hosts)}{r.choice(['', ':80'])}{r.choice(['', '/', '/p', '/p/q?x', '?y', '#f', '/pq'])}" for _ in range(300)] + [None, "", "not a url", "http:///p", "//a.com/p", "https://..."]
-    given_ = [("a.com", None, "drop"), ("b.a.com", None, "keep"), ("a.com", "/p", "keep"), ("a.com", "/p/", "drop"), ("com", None, "keep"), ("a.com", None, "a tie"), ("com.au", None, "drop")]
+    urls = [f"https://{r.choice(['', 'u@'])}{r.choice(hosts)}{r.choice(['', ':80'])}{r.choice(['', '/', '/p', '/p/q?x', '?y', '#f', '/pq'])}" for _ in range(300)] + [None, "", "not a url", "http:///p", "//a.com/p", "https://...", "https://a.com/p/" + "z" * (1 << 20), "https://a.com/p" + "/q" * (1 << 19)]
+    given_ = [("a.com", None, "drop"), ("b.a.com", None, "keep"), ("a.com", "/p", "keep"), ("a.com", "/p/", "drop"), ("com", None, "keep"), ("a.com", None, "a tie"), ("com.au", None, "drop"), ("a.com", "/p" + "/q" * 300_000, "deep")] + [("b.a.com", "/" + "p/q?x"[:k], "nested") for k in range(6)]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(3, urls[3], "x", "y"), (None, urls[4], "x", "y")], "page_id long, url string, key string, action string")
     keyed = [x[0] for x in pages.select(url_filter.key(pages.url)).collect()]
     prefixes = defaultdict(list)
@@ -170,6 +170,8 @@ def test_token_records(spark, docs, rows, nothing, tmp_path):
 
 def test_decontamination(spark, docs, rows, nothing):
     r = random.Random(9)
+    rows = [*rows, (200, rows[7][1], "s0"), (200, rows[7][1], "s0"), (201, "word " * 400_000 + rows[7][1], "s0")]
+    docs = frame(spark, rows).repartition(3)
     long = next(t for i, t, _ in rows if i == 7).split()
     tests = [" ".join(long[5:25]).upper(), " ".join(rows[2][1].split()[:6]), "one", "", None, prose(r, 12), " ".join(long[5:25])]
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(tests)], "item_id long, text string, hash string")
@@ -189,12 +191,17 @@ def test_decontamination(spark, docs, rows, nothing):
         got = Counter(tuple(x) for x in decontaminate.contaminated_spans(docs, bench, broadcast_limit=limit).collect())
         assert got == want
     bad = {x[0] for x in want}
-    kept = decontaminate.remove_documents(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(i not in bad for i, _, _ in rows)
-    cut = decontaminate.remove_spans(docs, bench)
-    assert decontaminate.contaminated_spans(cut, bench).count() == 0 and cut.count() == len(rows)
     clean = {(i, t) for i, t, _ in rows if i not in bad}
-    assert clean <= {(x["doc_id"], x["text"]) for x in cut.collect()}
+    whole = None
+    for limit, bits in ((10**6, 1 << 29), (3, 1 << 29), (3, 1 << 10)):
+        kept = decontaminate.remove_documents(docs, bench, broadcast_limit=limit, filter_bits=bits)
+        assert kept.columns == docs.columns and Counter(x["doc_id"] for x in kept.collect()) == Counter(i for i, _, _ in rows if i not in bad)
+        cut = decontaminate.remove_spans(docs, bench, broadcast_limit=limit, filter_bits=bits)
+        assert cut.columns == docs.columns and decontaminate.contaminated_spans(cut, bench).count() == 0
+        texts = Counter((x["doc_id"], x["text"]) for x in cut.collect())
+        assert clean <= set(texts) and sum(texts.values()) == len(rows) and whole in (None, texts)
+        whole = texts
+        assert decontaminate.contaminated_spans(nothing, bench, broadcast_limit=limit).count() == 0
     assert decontaminate.contaminated_spans(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated_spans(nothing, bench).count() == 0
 
