@@ -369,7 +369,7 @@ def test_window_keys(op, texts, n):
 
 def test_lines(spark, nothing):
     rows = [(i, f"common  LINE\nown {i}\n\n" + ("rare\n" if i < 3 else "") + "tail", "s") for i in range(12)]
-    rows += [(20, None, "s"), (21, "", None), (22, "\n\n", "s"), (None, "Common line\nx", "s"), (23, "twice\n" * 40, "s"), (24, "common line", "s"), (24, "common line\nb", "s"), (24, "common line", "s")]
+    rows += [(20, None, "s"), (21, "", None), (22, "\n\n", "s"), (None, "Common line\nx", "s"), (23, "twice\n" * 40, "s"), (24, "common line", "s"), (24, "common line\nb", "s"), (24, "common line", "s"), (25, "common line\nown\n" * 100_000 + "end", "s"), (26, "x" * (1 << 20), "s")]
     count = defaultdict(set)
     norm = lambda x: re.sub(r"[ \t\r\f\v]+", " ", x.lower()).strip(" ")
     for i, t, _ in rows:
