@@ -276,9 +276,37 @@ def test_simhash_recall(spark):
     dist = bits @ (1 - bits.T) + (1 - bits) @ bits.T
     assert set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(dist <= simhash_dedup.RADIUS, 1))))) == set(zip(a.tolist(), b.tolist()))
     table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(s)], "id long, sig binary")
-    found = {tuple(sorted(x)) for x in simhash_dedup.near_edges(table, node=64, spanning=False).collect()}
     want = set(zip(a.tolist(), b.tolist()))
-    assert found <= want and len(found) >= 0.9 * len(want) and len(want) > 1000
+    assert len(want) > 1000
+    for node in (64, 8):
+        found = {tuple(sorted(x)) for x in simhash_dedup.near_edges(table, node=node, spanning=False).collect()}
+        assert found <= want and len(found) >= simhash_dedup.RECALL * len(want)
+    shallow = {tuple(sorted(x)) for x in simhash_dedup.near_edges(table, node=8, spanning=False, recall=0.1, trees=2).collect()}
+    assert shallow <= want and len(shallow) < 0.9 * len(want)
+    climbed = {tuple(sorted(x)) for x in simhash_dedup.near_edges(table, node=8, spanning=False, trees=2).collect()}
+    assert climbed <= want and len(climbed) >= simhash_dedup.RECALL * len(want)  # the two trees alone don't reach it
+
+
+def test_simhash_dense(spark):
+    """A third of all signatures within a few bits of each other, among sparse ones; components against brute force."""
+    r = np.random.default_rng(4)
+    s = r.integers(0, 2**63, (4000, 4), dtype=np.uint64)
+    s[:1500] = s[0]
+    for i in range(1, 1500):
+        for b in r.choice(256, r.integers(1, 9), replace=False):
+            s[i, b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
+    s = np.unique(s, axis=0)
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(s)], "id long, sig binary")
+    a, b = simhash_dedup.close(s, simhash_dedup.RADIUS)
+    want = components(zip(a.tolist(), b.tolist()))
+    got = components((x[0], x[1]) for x in simhash_dedup.near_edges(table, node=32).collect())
+    classes = lambda c: Counter(frozenset(x for x in c if c[x] == k) for k in set(c.values()))
+    assert classes(got) == classes(want)
+
+
+def test_simhash_through_the_trees(spark, docs, rows):
+    """Groups with nodes so small that the trees decide, against those of one node."""
+    assert {tuple(x) for x in simhash_dedup.groups(docs, node=16).collect()} == {tuple(x) for x in simhash_dedup.groups(docs).collect()}
 
 
 @given(st.lists(st.floats(0, 1), max_size=40), st.integers(0, 2**32))
