@@ -8,18 +8,22 @@ Coarse centroids (about the square root of the number of vectors) and the codebo
 residuals' subspaces are fitted by passes over all vectors. Each vector is stored in the
 inverted list of its nearest centroid with its codes and the length of the error they
 make. Every vector is a query and probes the lists of its nearest centroids. How many is
-measured: each vector is moved by D in a random direction, and the probes have to reach the
-list of the share ``recall`` of these. As either of a pair may find the other, more than
-that are found, and more still of closer pairs. Lists whose radius plus D doesn't reach the
-query are left out. Table look-ups give the distance to a member's decoded vector; a member
-stays a candidate if that is D plus the member's error at most, so none within D is lost
-here. Candidates are ranked by their exact cosine. Lists are split into blocks of members
-and of queries, so no task holds more than a block of each.
+measured: each vector is moved by D in a random direction; it and its moved copy may find
+each other from either side, and the probes have to suffice for the share ``recall`` of
+these pairs; at a recall of 1 all lists are probed. Closer pairs are found more often. Lists whose radius plus D doesn't reach the
+query are left out. Queries and members go to the lists as half-precision vectors, members
+with their codes. Table look-ups give the distance to a member's decoded vector; a member
+stays a candidate if that is D plus the member's error and the rounding at most, so none
+within D is lost here. Candidates are then ranked by the cosine of the halves, which is
+right to within ``BAND``; those that are nearer than that to the threshold are decided by the
+exact cosine of their whole vectors, fetched for them alone. Lists are split into blocks of
+members and of queries, so no task holds more than a block of each.
 
 Null vectors, vectors of another dimension than most, with nulls or NaNs, and zero vectors
 are in no group, nor is a null vec_id. Equal vectors are collapsed first. Repeated rows of
 a vec_id count once if their vectors are equal; otherwise the vec_id takes part with each.
-An empty table gives no group. Extra columns are ignored.
+Pairs at exactly ``cosine`` count, and of equal distances to two centroids the first. Vectors of
+any length are taken whole. An empty table gives no group. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from lodestrata.llm.simhash_dedup import least
 from lodestrata.operators.graph import connected_components
 from lodestrata.runtime import cut, ship
 
-COSINE, SUBSPACES, CODES, ROUNDS, BLOCK, RECALL = 0.95, 8, 256, 3, 4096, 0.995
+COSINE, SUBSPACES, CODES, ROUNDS, BLOCK, RECALL = 0.95, 8, 256, 3, 4096, 0.999
 SLACK = 1e-5  # for rounding
+HALF, BAND = 5e-4, 1.2e-3  # of a half-precision unit vector: its error's length at most; error of a cosine of two
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -162,22 +167,26 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
     turn = math.sqrt(max(0.0, 1 - cosine * cosine))
 
     def rank(batches):
+        def closer(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+            d = _square(x, cent)
+            return (d < d[np.arange(len(d)), own][:, None]).sum(axis=1)
+
         for b in batches:
             v, seen = _matrix(b.column("v"), dim), np.zeros(k, np.int64)
             side = np.random.default_rng(b.column("id").to_numpy()[:1].astype(np.uint64)).normal(size=v.shape).astype(np.float32)
             side -= (side * v).sum(axis=1, keepdims=True) * v
             side /= np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-9)
-            cell = _nearest(cosine * v + np.float32(turn) * side, cent)
+            moved = cosine * v + np.float32(turn) * side
+            cell, here = _nearest(moved, cent), b.column("cell").to_numpy()
             for s in _blocks(len(v), k):
-                d = _square(v[s], cent)
-                seen += np.bincount((d < d[np.arange(len(d)), cell[s]][:, None]).sum(axis=1), minlength=k)
+                seen += np.bincount(np.minimum(closer(v[s], cell[s]), closer(moved[s], here[s])), minlength=k)
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["rank", "n"])
 
-    ranks = lists.select("id", "v").mapInArrow(rank, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toArrow()
+    ranks = lists.select("id", "v", "cell").mapInArrow(rank, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toArrow()
     share = np.zeros(k)
     share[ranks["rank"].to_numpy()] = ranks["n"].to_numpy()
-    near = min(k, 1 + int(np.searchsorted(np.cumsum(share), recall * share.sum())))
+    near = k if recall >= 1 else min(k, 1 + int(np.searchsorted(np.cumsum(share), recall * share.sum())))
 
     def probes(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lists that each vector probes."""
@@ -225,11 +234,11 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
             unit, kind, row = unit[order], kind[order], row[order]
             cuts = np.flatnonzero((np.diff(unit) != 0) | (np.diff(kind) != 0)) + 1
             q = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, m)
-            error = b.column("error").to_numpy()
+            error = b.column("error").to_numpy().astype(np.float32)
             parts = [x for x in np.split(np.arange(len(unit)), cuts) if len(x)]
             rows = [row[x] for x in parts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(unit[x[0]]) for x in parts], pa.int64()), pa.array([int(kind[x[0]]) for x in parts], pa.int32()), *(pa.array([y[r].tobytes() for r in rows], pa.binary()) for y in (ids, v, q, error))],
+                [pa.array([int(unit[x[0]]) for x in parts], pa.int64()), pa.array([int(kind[x[0]]) for x in parts], pa.int32()), *(pa.array([y[r].tobytes() for r in rows], pa.binary()) for y in (ids, v.astype(np.float16))), *(pa.array([y[r].tobytes() if kind[x[0]] else b"" for x, r in zip(parts, rows)], pa.binary()) for y in (q, error))],
                 ["unit", "kind", "ids", "v", "code", "error"],
             )
 
@@ -243,9 +252,9 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
             return np.frombuffer(b"".join(x[i] for i in np.flatnonzero(side == kind)), dtype)
 
         qid, mid = take("ids", 0, np.int64), take("ids", 1, np.int64)
-        qv, mv = take("v", 0, np.float32).reshape(-1, dim), take("v", 1, np.float32).reshape(-1, dim)
-        q, limit = take("code", 1, np.uint8).reshape(-1, m), (reach + take("error", 1, np.float64) + SLACK) ** 2
-        a, b = [], []
+        qv, mv = take("v", 0, np.float16).astype(np.float32).reshape(-1, dim), take("v", 1, np.float16).astype(np.float32).reshape(-1, dim)
+        q, limit = take("code", 1, np.uint8).reshape(-1, m), (reach + take("error", 1, np.float32) + HALF + SLACK) ** 2
+        a, b, c = [], [], []
         for i in range(0, len(qid), 256):
             r = qv[i : i + 256] - cent[cell]
             d = np.zeros((len(r), len(mid)), np.float32)
@@ -255,31 +264,44 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
             x, y = x[qid[i + x] != mid[y]], y[qid[i + x] != mid[y]]
             for s in range(0, len(x), 1 << 16):
                 x1, y1 = x[s : s + (1 << 16)] + i, y[s : s + (1 << 16)]
-                ok = (qv[x1].astype(np.float64) * mv[y1]).sum(axis=1) >= cosine
+                cos = (qv[x1].astype(np.float64) * mv[y1]).sum(axis=1)
+                ok = cos >= cosine - BAND
                 a.append(qid[x1[ok]])
                 b.append(mid[y1[ok]])
-        a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (a, b))
+                c.append(cos[ok] >= cosine + BAND)
+        a, b, sure = (np.concatenate(x or [np.zeros(0, kind)]) for x, kind in ((a, np.int64), (b, np.int64), (c, bool)))
         if spanning and len(a):
             ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            lab = least(len(ids), at[: len(a)], at[len(a) :])
+            x, y = at[: len(a)], at[len(a) :]
+            lab = least(len(ids), x[sure], y[sure])
+            open_ = ~sure & (lab[x] != lab[y])
             at = np.flatnonzero(lab != np.arange(len(ids)))
-            a, b = ids[at], ids[lab[at]]
-        return pa.table({"a": a, "b": b})
+            a, b, sure = np.concatenate([ids[at], a[open_]]), np.concatenate([ids[lab[at]], b[open_]]), np.arange(len(at) + int(open_.sum())) < len(at)
+        return pa.table({"a": a, "b": b, "sure": sure})
 
     work = lists.mapInArrow(spread, "unit long, kind int, ids binary, v binary, code binary, error binary")
-    return work.groupBy("unit").applyInArrow(search, "a long, b long")
+    found = cut(work.groupBy("unit").applyInArrow(search, "a long, b long, sure boolean"))
+
+    def exact(batches):
+        for t in batches:
+            x, y = _matrix(t.column("va"), dim).astype(np.float64), _matrix(t.column("vb"), dim)
+            yield t.select(["a", "b"]).filter(pa.array((x * y).sum(axis=1) >= cosine))
+
+    v = lists.select("id", "v")
+    close = found.where("not sure").select("a", "b").distinct().join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
+    return found.where("sure").select("a", "b").union(close.mapInArrow(exact, "a long, b long"))
 
 
-def groups(table: DataFrame, cosine: float = COSINE, subspaces: int = SUBSPACES, codes: int = CODES, block: int = BLOCK) -> DataFrame:
+def groups(table: DataFrame, cosine: float = COSINE, subspaces: int = SUBSPACES, codes: int = CODES, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(vec_id, group_id) of every vector that has a near duplicate; group_id is the group's least vec_id, the one to keep."""
     rows, dim = unit_vectors(table)
-    rows = cut(rows.distinct())
-    once = cut(rows.groupBy("v").agg(F.min("id").alias("vid"), F.count("*").alias("n")).withColumn("id", F.xxhash64("v")))
-    edges = near_edges(once.select("id", "v"), dim, cosine, subspaces, codes, block)
-    named = once.withColumn("component", F.col("id")).where("n > 1").select("v", "component")
+    rows = cut(rows.distinct().withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")}))
+    once = cut(rows.groupBy("v", "h", "g").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    edges = near_edges(once.select("id", "v"), dim, cosine, subspaces, codes, block, recall=recall)
+    named = once.withColumn("component", F.col("id")).where("n > 1").select("h", "g", "component")
     if edges is not None:
         comp = connected_components(edges)
-        named = once.join(comp, once.id == comp.node, "left").where("n > 1 or component is not null").select("v", F.coalesce("component", "id").alias("component"))
-    found = rows.join(named, "v").select("id", "component")
+        named = once.select("id", "h", "g", "n").join(comp, F.col("id") == comp.node, "left").where("n > 1 or component is not null").select("h", "g", F.coalesce("component", "id").alias("component"))
+    found = rows.select("id", "h", "g").join(named, ["h", "g"]).select("id", "component")
     first = found.groupBy("component").agg(F.min("id").alias("group_id"))
     return found.join(first, "component").select(F.col("id").alias("vec_id"), "group_id").distinct()

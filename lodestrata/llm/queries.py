@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash_dedup, substring_dedup, suffix_dedup, token_records, toxicity, url_filter
 from lodestrata.runtime import table
@@ -30,6 +31,17 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
 
 
+#: How far the copies of :func:`embedding_groups_moved` lie: about half of them are within the operator's threshold.
+SHIFT = 0.33
+
+
+def embedding_groups_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of op5 over all vectors and as many copies that are moved along the first axis; the given vectors alone may have no near pair. All lists in reach are probed, so the SQL can be matched."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    moved = F.concat(F.array((F.element_at("embedding", 1) + F.lit(SHIFT)).cast("float")), F.slice("embedding", 2, 1 << 30))
+    return embedding_dedup.groups(e.union(e.select((-F.col("vec_id") - 1).alias("vec_id"), moved.alias("embedding"))), recall=1.0)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -56,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_token_records, op4_decontamination, op5_embedding_dedup, op6_simhash_dedup, op7_mixing, op8_substring_dedup, op9_line_dedup, op10_suffix_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_token_records, op4_decontamination, op5_embedding_dedup, op6_simhash_dedup, op7_mixing, op8_substring_dedup, op9_line_dedup, op10_suffix_dedup, pipeline, embedding_groups_moved)}
 
 WORDS = f"regexp_extract_all(lower(coalesce(text, '')), '{decontaminate.PATTERN}')"
 
@@ -97,13 +109,19 @@ runs AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PAR
 SELECT doc_id, CAST(min(s) AS INTEGER) AS start_word, CAST(max(e) AS INTEGER) AS end_word, CAST(count(*) AS INTEGER) AS n_windows FROM runs GROUP BY r, doc_id, g
 """
 
-OP5 = f"""
-WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+def _groups_sql(vectors: str) -> str:
+    return f"""
+WITH RECURSIVE v AS ({vectors}),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {embedding_dedup.COSINE}),
 reach AS (SELECT DISTINCT a AS x, a AS y FROM pairs UNION SELECT x, b FROM reach JOIN pairs ON y = a)
 SELECT x AS vec_id, min(y) AS group_id FROM reach GROUP BY x
 """
 
+
+OP5 = _groups_sql("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings")
+MOVED = _groups_sql(f"""SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    UNION ALL SELECT -vec_id - 1, CAST(list_concat([CAST(embedding[1] + {SHIFT} AS FLOAT)], embedding[2:]) AS DOUBLE[]) FROM embeddings""")
+
 REPEATS = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 win AS (SELECT r, doc_id, s, md5(array_to_string(w[s:s + {substring_dedup.LENGTH - 1}], ' ')) AS gram FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - {substring_dedup.LENGTH - 1})) AS s FROM d WHERE len(w) >= {substring_dedup.LENGTH})),
@@ -121,4 +139,4 @@ kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (n NOT IN (SELECT
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, CAST(coalesce(gone, 0) AS INTEGER) AS n_dropped FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL = {"op1_url_filters": OP1, "op4_decontamination": OP4, "op5_embedding_dedup": OP5, "op8_substring_dedup": REPEATS, "op9_line_dedup": OP9, "op10_suffix_dedup": REPEATS}
+ORACLE_SQL = {"op1_url_filters": OP1, "op4_decontamination": OP4, "op5_embedding_dedup": OP5, "embedding_groups_moved": MOVED, "op8_substring_dedup": REPEATS, "op9_line_dedup": OP9, "op10_suffix_dedup": REPEATS}
