@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalar import dot
+from lodestrata.runtime import cut, ship
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -16,6 +20,48 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "id",
     return vectors.select(F.col(key), dot(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", vector: str = "vector", block: int = 1024) -> DataFrame:
+    """(query, key, score) of the ``k`` vectors of greatest dot product for each row of ``queries``; equal scores by key.
+
+    Queries are taken in blocks of at most ``block``, each with one scan of all vectors: a batch is
+    multiplied with the block's matrix and keeps its own best ``k``, of which the best go on.
+    Vectors without numbers, and those of another length than a block's first query, match nothing.
+    """
+    ship(vectors.sparkSession)
+    kind = vectors.schema[key].dataType.simpleString()
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"))
+    asked = cut(asked)
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-asked.count() // block)))))
+    asked = cut(asked.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("q"))))
+    out = None
+    for b, part in [(r["b"], i) for r in asked.groupBy("b").agg(F.max("n").alias("n")).collect() for i in range(-(-r["n"] // block))]:
+        rows = asked.where((F.col("b") == b) & (F.col("n") > part * block) & (F.col("n") <= (part + 1) * block)).select("q", "v").collect()  # a block
+        dim = len(rows[0]["v"])
+        rows = [r for r in rows if len(r["v"]) == dim]
+        names, m = [r["q"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)
+
+        def run(batches, names=names, m=m, dim=dim):
+            for t in batches:
+                t = t.filter(pc.and_(pc.is_valid(t.column("v")), pc.fill_null(pc.equal(pc.list_value_length(t.column("v")), dim), False)))
+                if not t.num_rows:
+                    continue
+                x = np.array(t.column("v").flatten(), dtype=np.float64).reshape(-1, dim)
+                ok = np.isfinite(x).all(axis=1)
+                x, ids = x[ok], t.column("id").filter(pa.array(ok))
+                order = np.array(pc.sort_indices(ids))
+                x, ids = x[order], ids.take(pa.array(order))
+                best = np.argsort(-(m @ x.T), axis=1, kind="stable")[:, :k]
+                at, i = np.repeat(np.arange(len(m)), best.shape[1]), best.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(names, ids.type).take(pa.array(at)), ids.take(pa.array(i)), pa.array((m[at] * x[i]).sum(axis=1))], ["query", "id", "score"])
+
+        got = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(run, f"query {kind}, id {kind}, score double")
+        out = got if out is None else out.union(got)
+    if out is None:
+        return vectors.select(F.col(key).alias("query"), F.col(key), F.lit(0.0).alias("score")).limit(0)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return out.withColumn("__k", place).where(F.col("__k") <= k).select("query", F.col("id").alias(key), "score")
+
+
 def content_key() -> list[str]:
     return ["file", "symbol", "kind", "text"]
 

@@ -102,8 +102,7 @@ def feature_envy(spark, sf_dir):
     return smells.envy(table(spark, sf_dir, "events").withColumn("own", _own()), "user_id", "event_type", "own")
 
 
-# the SQL of intimacy, jaccard_divergence and implicit_schema still filters by value; the queries take all events
-@query(r"""WITH u AS (SELECT user_id AS unit, event_type AS class, CASE event_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '__' ELSE '' END || regexp_extract(props, '"(\w+)"', 1) || CAST(event_id % 2 AS VARCHAR) AS name FROM events WHERE value > 90)
+@query(r"""WITH u AS (SELECT user_id AS unit, event_type AS class, CASE event_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '__' ELSE '' END || regexp_extract(props, '"(\w+)"', 1) || CAST(event_id % 2 AS VARCHAR) AS name FROM events)
 SELECT unit, class, list_sort(list(DISTINCT name)) AS names FROM u WHERE regexp_matches(name, '^_[^_]') GROUP BY ALL""")
 def intimacy(spark, sf_dir):
     mark = F.when(F.col("event_id") % 3 == 0, "_").when(F.col("event_id") % 3 == 1, "__").otherwise("")
@@ -131,7 +130,7 @@ def n_plus_one(spark, sf_dir):
     return smells.calls_in_loops(calls, local, ["purch", "err"])
 
 
-@query("""WITH s AS (SELECT user_id AS u, user_id // 2 AS g, list_sort(list(DISTINCT event_type || CAST(hour(ts) AS VARCHAR))) AS i FROM events WHERE value > 80 GROUP BY ALL),
+@query("""WITH s AS (SELECT user_id AS u, user_id // 2 AS g, list_sort(list(DISTINCT event_type || CAST(hour(ts) AS VARCHAR))) AS i FROM events GROUP BY ALL),
 p AS (SELECT a.g, a.u AS a, b.u AS b, a.i AS x, b.i AS y FROM s a JOIN s b ON a.g = b.g AND a.u < b.u)
 SELECT g, a, b, CAST(len(list_intersect(x, y)) AS INTEGER) AS shared, CAST(len(x) + len(y) - len(list_intersect(x, y)) AS INTEGER) AS total FROM p
 WHERE len(x) - len(list_intersect(x, y)) >= 2 AND len(y) - len(list_intersect(x, y)) >= 2 AND 3 * len(list_intersect(x, y)) < len(x) + len(y) - len(list_intersect(x, y))""")
@@ -141,8 +140,8 @@ def jaccard_divergence(spark, sf_dir):
     return smells.divergence(sets, "g", "user_id", "items")
 
 
-@query(r"""WITH RECURSIVE k AS (SELECT DISTINCT user_id AS unit, event_type AS receiver, regexp_extract(props, '"(\w+)"', 1) || CAST(event_id % 7 AS VARCHAR) AS key FROM events WHERE value > 85),
-c AS (SELECT DISTINCT user_id AS unit, event_type AS receiver, event_id % 150 AS callee, event_type AS param FROM events WHERE value < 3),
+@query(r"""WITH RECURSIVE k AS (SELECT DISTINCT user_id AS unit, event_type AS receiver, regexp_extract(props, '"(\w+)"', 1) || CAST(event_id % 7 AS VARCHAR) AS key FROM events),
+c AS (SELECT DISTINCT user_id AS unit, event_type AS receiver, event_id % 150 AS callee, event_type AS param FROM events),
 r AS (SELECT unit, receiver, key, 0 AS d FROM k UNION SELECT c.unit, c.receiver, r.key, r.d + 1 FROM r JOIN c ON c.callee = r.unit AND c.param = r.receiver WHERE r.d < 4)
 SELECT unit, receiver, list_sort(list(DISTINCT key)) AS keys FROM r GROUP BY ALL HAVING count(DISTINCT key) >= 4""")
 def implicit_schema(spark, sf_dir):

@@ -21,13 +21,15 @@ def query(sql: str | None = None):
     return add
 
 
-# modules are brands, symbols are parts; a line uses a part, a returned one in a test; the SQL still takes lines of 50 pieces only
-REFS = """refs AS (SELECT l_suppkey AS source, p_brand AS target, CASE WHEN l_linenumber = 7 AND l_discount = 0.1 AND l_tax = 0.08 THEN '*' ELSE CAST(l_partkey AS VARCHAR) END AS symbol, l_returnflag = 'R' AS is_test
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50)"""
+# modules are brands, a symbol is a part at a line's place (1 to 7); a line uses one, a returned one in a test
+STAR = "l_linenumber = 7 AND l_discount = 0.1 AND l_tax = 0.08 AND l_quantity > 45"
+REFS = f"""refs AS (SELECT l_suppkey AS source, p_brand AS target, CASE WHEN {STAR} THEN '*' ELSE l_partkey || ':' || l_linenumber END AS symbol, l_returnflag = 'R' AS is_test
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
+declared AS (SELECT p_brand AS module, p_partkey || ':' || place AS symbol, p_type AS kind, p_size FROM part, generate_series(1, 7) t(place))"""
 
 
 def _refs(spark, sf_dir):
-    symbol = F.when((F.col("l_linenumber") == 7) & (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0.08), "*").otherwise(F.col("l_partkey").cast("string"))
+    symbol = F.when(F.expr(STAR), "*").otherwise(F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")))
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return l.select(F.col("l_suppkey").alias("source"), F.col("p_brand").alias("target"), symbol.alias("symbol"), (F.col("l_returnflag") == "R").alias("is_test"))
 
@@ -38,30 +40,31 @@ def inbound_usage(spark, sf_dir):
 
 
 @query(f"""WITH {REFS}, use AS (SELECT target AS module, count(*) FILTER (symbol <> '*') AS used, bool_or(symbol = '*') AS star, count(*) AS n FROM refs WHERE NOT is_test GROUP BY 1)
-SELECT p_brand AS module, CAST(p_partkey AS VARCHAR) AS symbol, p_type AS kind, CASE WHEN used > 0 THEN 'high' ELSE 'medium' END AS confidence
-FROM part JOIN use ON module = p_brand WHERE NOT star AND p_size <> 1 AND p_size <> 2 AND n > 0
-AND NOT EXISTS (SELECT 1 FROM refs WHERE NOT is_test AND target = p_brand AND symbol = CAST(p_partkey AS VARCHAR))""")
+SELECT module, symbol, kind, CASE WHEN used > 0 THEN 'high' ELSE 'medium' END AS confidence
+FROM declared d JOIN use USING (module) WHERE NOT star AND p_size <> 1 AND p_size <> 2 AND n > 0
+AND NOT EXISTS (SELECT 1 FROM refs r WHERE NOT is_test AND r.target = d.module AND r.symbol = d.symbol)""")
 def dead_parts_tiered(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(7))))
     symbols = p.select(
-        F.col("p_brand").alias("module"), F.col("p_partkey").cast("string").alias("symbol"), F.col("p_type").alias("kind"), (F.col("p_size") == 1).alias("private"), (F.col("p_size") == 2).alias("exported"),
-        F.lit(False).alias("registered"), F.lit(False).alias("entry"), F.lit(0).alias("local_uses"),
+        F.col("p_brand").alias("module"), F.concat_ws(":", F.col("p_partkey").cast("string"), F.col("place").cast("string")).alias("symbol"), F.col("p_type").alias("kind"), (F.col("p_size") == 1).alias("private"),
+        (F.col("p_size") == 2).alias("exported"), F.lit(False).alias("registered"), F.lit(False).alias("entry"), F.lit(0).alias("local_uses"),
     )
     return dead.dead_symbols(symbols, _refs(spark, sf_dir))
 
 
-@query("SELECT c_custkey AS line, c_name AS name, 'c' || c_nationkey AS file FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+# a binding is a customer's month of the year, an order uses one
+@query("""WITH used AS (SELECT DISTINCT o_custkey, month(o_orderdate) AS m FROM orders)
+SELECT c_custkey AS line, c_name || '#' || m AS name, 'c' || c_nationkey AS file FROM customer, generate_series(1, 12) t(m) WHERE c_mktsegment <> 'MACHINERY' AND NOT EXISTS (SELECT 1 FROM used u WHERE u.o_custkey = c_custkey AND u.m = t.m)""")
 def unused_customers(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("file"), F.col("c_name").alias("name"), F.col("c_custkey").alias("line"), F.lit("runtime").alias("phase"), F.lit(False).alias("is_inline"), (F.col("c_mktsegment") == "MACHINERY").alias("exported"), F.lit(False).alias("is_package_index"))
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    file, name = F.concat(F.lit("c"), F.col("c_nationkey").cast("string")), lambda m: F.concat_ws("#", "c_name", m.cast("string"))
+    c = table(spark, sf_dir, "customer").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    c = c.select(file.alias("file"), name(F.col("m")).alias("name"), F.col("c_custkey").alias("line"), F.lit("runtime").alias("phase"), F.lit(False).alias("is_inline"), (F.col("c_mktsegment") == "MACHINERY").alias("exported"), F.lit(False).alias("is_package_index"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n"))
     uses = o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    uses = uses.select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("file"), F.col("c_name").alias("name"), "n")
-    return dead.unused_bindings(c, uses).select("line", "name", "file")
+    return dead.unused_bindings(c, uses.select(file.alias("file"), name(F.col("m")).alias("name"), "n")).select("line", "name", "file")
 
 
-# the SQL still takes the three largest partners of a nation only; the queries take all
-TRADE = """flow AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
-trade AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM flow) WHERE k <= 3),
+TRADE = """trade AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
 reach AS (SELECT src, dst FROM trade UNION SELECT r.src, t.dst FROM reach r JOIN trade t ON r.dst = t.src)"""
 
 
@@ -126,7 +129,7 @@ def unmatched_rules(spark, sf_dir):
 
 
 # suppliers and brands are nodes; returned lines go the other way
-DEPS = """deps AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN p_brand ELSE 's' || l_suppkey END AS src, CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE p_brand END AS dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45),
+DEPS = """deps AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN p_brand ELSE 's' || l_suppkey END AS src, CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE p_brand END AS dst FROM lineitem JOIN part ON l_partkey = p_partkey),
 fi AS (SELECT dst AS node, count(DISTINCT src) AS fan_in FROM deps WHERE src <> dst GROUP BY 1), fo AS (SELECT src AS node, count(DISTINCT dst) AS fan_out FROM deps GROUP BY 1),
 fan AS (SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM fi FULL JOIN fo USING (node)), many AS (SELECT greatest(4, count(*) * 15 // 100) AS t FROM fan)"""
 
@@ -152,9 +155,15 @@ def blast_hazard(spark, sf_dir):
     return smells.hazards(d, _internal(d))
 
 
-@query(f"WITH {DEPS} SELECT node, fan_in, fan_out FROM fan, many WHERE fan_in + fan_out >= 25 AND fan_in >= 4 AND fan_out >= 4 AND fan_in < t")
+# here suppliers and parts are nodes
+PART_DEPS = DEPS.replace("p_brand", "('p' || l_partkey)")
+
+
+@query(f"WITH {PART_DEPS} SELECT node, fan_in, fan_out FROM fan, many WHERE fan_in + fan_out >= 25 AND fan_in >= 4 AND fan_out >= 4 AND fan_in < t")
 def god_nodes(spark, sf_dir):
-    d = _deps(spark, sf_dir)
+    l, back = table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "R"
+    s, p = (F.concat(F.lit(x), F.col(c).cast("string")) for x, c in (("s", "l_suppkey"), ("p", "l_partkey")))
+    d = l.join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.when(back, p).otherwise(s).alias("src"), F.when(back, s).otherwise(p).alias("dst")).distinct()
     return smells.god_nodes(d, _internal(d))
 
 

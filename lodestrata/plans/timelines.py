@@ -141,14 +141,15 @@ def reintroduction_rate(spark, sf_dir):
     return temporal.reintroduction(lives.where("resolved is not null"), lives.where("back is not null").withColumn("held", F.col("held") * temporal.DAY))
 
 
-# the SQL still filters both halves by value; the queries split all events by date alone
-HALVES = """b AS (SELECT DISTINCT user_id, event_type FROM events WHERE day(ts) <= 15 AND value > 95), o AS (SELECT DISTINCT user_id, event_type FROM events WHERE day(ts) > 15 AND value > 60)"""
+# a finding is a user's event type in an hour of the day; the month's first half is the past
+HALVES = """h AS (SELECT DISTINCT user_id, event_type || ':' || hour(ts) AS event_type, day(ts) > 15 AS late FROM events),
+b AS (SELECT user_id, event_type FROM h WHERE NOT late), o AS (SELECT user_id, event_type FROM h WHERE late)"""
 
 
 def _halves(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("fp", F.xxhash64("user_id", "event_type"))
-    late = F.dayofmonth("ts") > 15
-    return e.where(~late).select("fp", "user_id", "event_type").distinct(), e.where(late).select("fp", "user_id", "event_type").distinct()
+    e = table(spark, sf_dir, "events").select("user_id", F.concat_ws(":", "event_type", F.hour("ts").cast("string")).alias("event_type"), (F.dayofmonth("ts") > 15).alias("late")).distinct()
+    e = e.withColumn("fp", F.xxhash64("user_id", "event_type"))
+    return e.where("not late").select("fp", "user_id", "event_type"), e.where("late").select("fp", "user_id", "event_type")
 
 
 @query(f"""WITH {HALVES} SELECT count(*) AS blocked, count(*) FILTER (NOT f) AS fixed, floor(count(*) FILTER (NOT f) / count(*) * 100 + 0.5) / 100 AS rate FROM (SELECT EXISTS (SELECT 1 FROM o WHERE o.user_id = b.user_id AND o.event_type = b.event_type) AS f FROM b)""")
@@ -171,10 +172,10 @@ def gate_memory(spark, sf_dir):
 
 
 @query(f"""WITH {HALVES} SELECT user_id, event_type FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHERE o.user_id = b.user_id AND o.event_type = b.event_type)
-AND NOT (event_type = 'view' AND contains(CAST(user_id AS VARCHAR) || ':' || event_type, '1:v')) AND NOT contains(CAST(user_id AS VARCHAR) || ':' || event_type, '22:')""")
+AND NOT (split_part(event_type, ':', 1) = 'view' AND contains(CAST(user_id AS VARCHAR) || ':' || event_type, '1:v')) AND NOT contains(CAST(user_id AS VARCHAR) || ':' || event_type, '22:')""")
 def suppression(spark, sf_dir):
     b, o = _halves(spark, sf_dir)
-    f = o.select("fp", "user_id", "event_type", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("label"), F.lit("smell").alias("pillar"), F.col("event_type").alias("detector"))
+    f = o.select("fp", "user_id", "event_type", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("label"), F.lit("smell").alias("pillar"), F.substring_index("event_type", ":", 1).alias("detector"))
     accepted = spark.createDataFrame([("view", "1:v"), ("smell", "22:")], "scope string, text string")
     return temporal.suppress(f, b, accepted).select("user_id", "event_type")
 
