@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX = 2**63 - 1
 
 
+CHUNK = 1 << 16  # lines of a diff that one task takes at most
+
+HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+
+
+def running(rows: DataFrame, last: dict[str, Column], total: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` of diffs (diff, n, ...) with each ``last`` value that isn't null up to a line, and each ``total`` up to it.
+
+    Chunks of a diff are taken by different tasks; what they begin with comes from one row for each chunk before.
+    """
+    total = total or {}
+    w = Window.partitionBy("diff", "__c").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("__c", F.floor(F.col("n") / CHUNK))
+    own = own.withColumns({f"__{k}": F.last(v, ignorenulls=True).over(w) for k, v in last.items()} | {f"__{k}": F.sum(v).over(w) for k, v in total.items()})
+    ends = own.groupBy("diff", "__c").agg(*[F.max_by(f"__{k}", "n").alias(k) for k in [*last, *total]])
+    before = Window.partitionBy("diff").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    begin = ends.select("diff", "__c", *[F.last(k, ignorenulls=True).over(before).alias(f"__b{k}") for k in last], *[F.sum(k).over(before).alias(f"__b{k}") for k in total])
+    got = own.join(begin, ["diff", "__c"]).withColumns({k: F.coalesce(f"__{k}", f"__b{k}") for k in last} | {k: F.col(f"__{k}") + F.coalesce(f"__b{k}", F.lit(0)) for k in total})
+    return got.drop("__c", *[f"__{k}" for k in [*last, *total]], *[f"__b{k}" for k in [*last, *total]])
+
+
+def _diffs(lines: DataFrame) -> DataFrame:
+    return lines if "diff" in lines.columns else lines.withColumn("diff", F.lit(0))
+
+
 def changed_ranges(lines: DataFrame) -> DataFrame:
-    """(file, lo, hi) of a unified diff's new side, from its lines (n, line); pure deletions drop out."""
-    w = Window.partitionBy("diff").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines if "diff" in lines.columns else lines.withColumn("diff", F.lit(0))
+    """(file, lo, hi) of a unified diff's new side, from its lines (n, line) or those of several (diff, n, line).
+
+    Pure deletions drop out. Untracked files, named by lines ``? name``, are changed as a whole.
+    """
     name = F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1), r"\s+$", ""))
-    rows = rows.withColumn("file", F.last(name, ignorenulls=True).over(w)).where(F.col("line").startswith("@@ "))
-    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    rows = rows.select("file", F.regexp_extract("line", hunk, 1).cast("long").alias("lo"), F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(line, r'{hunk}', 2), '') as bigint)"), F.lit(1)).alias("k"))
-    return rows.where("k > 0 and file <> '/dev/null'").select("file", "lo", (F.col("lo") + F.col("k") - 1).alias("hi"))
+    rows = running(_diffs(lines), {"file": name}).where(F.col("line").startswith("@@ "))
+    rows = rows.select("file", F.regexp_extract("line", HUNK, 1).cast("long").alias("lo"), F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(line, r'{HUNK}', 2), '') as bigint)"), F.lit(1)).alias("k"))
+    new = _diffs(lines).where(F.col("line").startswith("? ")).select(F.substr("line", F.lit(3)).alias("file"))
+    return rows.where("k > 0 and file <> '/dev/null'").select("file", "lo", (F.col("lo") + F.col("k") - 1).alias("hi")).union(whole_files(new))
 
 
 def added_lines(lines: DataFrame) -> DataFrame:
-    """(file, line_no, text) of the lines that a diff adds, counted inside each hunk."""
-    w = Window.orderBy("n") if "diff" not in lines.columns else Window.partitionBy("diff").orderBy("n")
-    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)"
-    name = F.when(F.col("line").startswith("+++ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("file", F.last(name, ignorenulls=True).over(upto)).withColumn("head", F.col("line").startswith("@@ "))
-    rows = rows.withColumn("h", F.sum(F.col("head").cast("int")).over(upto)).withColumn("lo", F.last(F.when(F.col("head"), F.regexp_extract("line", hunk, 1).cast("long")), ignorenulls=True).over(upto))
-    body = rows.where("h > 0 and not head and not startswith(line, '+++ ') and not startswith(line, '--- ') and not startswith(line, 'diff ') and not startswith(line, 'index ')")
-    at = F.sum(F.when(~F.col("line").startswith("-") & ~F.col("line").startswith("\\"), 1).otherwise(0)).over(Window.partitionBy("h").orderBy("n"))
-    return body.withColumn("line_no", F.col("lo") + at - 1).where(F.col("line").startswith("+")).select("file", "line_no", F.substring("line", 2, 1 << 30).alias("text"))
+    """(file, line_no, text) of the lines that diffs add, counted inside each hunk; columns as in :func:`changed_ranges`."""
+    line = F.col("line")
+    head = line.startswith("@@ ")
+    other = line.startswith("+++ ") | line.startswith("--- ") | line.startswith("diff ") | line.startswith("index ") | line.startswith("? ")
+    here = (~head & ~other & ~line.startswith("-") & ~line.startswith("\\")).cast("long")
+    name = F.when(line.startswith("+++ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1))
+    rows = running(_diffs(lines), {"file": name, "lo": F.when(head, F.regexp_extract("line", HUNK, 1).cast("long"))}, {"at": here})
+    rows = running(rows, {"base": F.when(head, F.col("at"))}).where(~other & ~head & F.col("lo").isNotNull())
+    return rows.where(F.col("line").startswith("+")).select("file", (F.col("lo") + F.col("at") - F.col("base") - 1).alias("line_no"), F.substr("line", F.lit(2)).alias("text"))
 
 
 def whole_files(files: DataFrame) -> DataFrame:

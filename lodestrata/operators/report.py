@@ -86,8 +86,9 @@ def gate(findings: DataFrame, most: str) -> bool:
 
 
 def signature(findings: DataFrame) -> DataFrame:
-    """(signature): one number for the set of all places and kinds."""
-    return findings.agg(F.coalesce(F.bit_xor(F.xxhash64("file", "line", "kind")), F.lit(0)).alias("signature"))
+    """(signature): one number for all places and kinds, in no order; equal findings count each."""
+    total = F.sum(F.xxhash64("file", "line", "kind").cast("decimal(38,0)"))
+    return findings.agg(F.coalesce(F.pmod(total, F.lit(2**61 - 1).cast("decimal(38,0)")), F.lit(0)).cast("long").alias("signature"))
 
 
 def to_json(findings: DataFrame) -> DataFrame:

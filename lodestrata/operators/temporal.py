@@ -130,8 +130,11 @@ def rerank(findings: DataFrame, noisy_detectors: DataFrame) -> DataFrame:
 
 def suppress(findings: DataFrame, triaged: DataFrame, accepted: DataFrame) -> DataFrame:
     """Findings (fp, label, pillar, detector) that aren't triaged and whose label has no accepted text (scope, text) of their pillar or detector."""
-    hit = ((accepted["scope"] == findings["pillar"]) | (accepted["scope"] == findings["detector"])) & F.contains(findings["label"], accepted["text"])
-    return findings.join(triaged.select("fp"), "fp", "left_anti").join(accepted, hit, "left_anti")
+    left = findings.join(triaged.select("fp"), "fp", "left_anti")
+    a = accepted.select(F.col("scope").alias("__s"), F.col("text").alias("__t"))
+    for scope in ("pillar", "detector"):  # a hash join each, not a nested loop over either
+        left = left.join(a, (F.col("__s") == F.col(scope)) & F.contains(F.col("label"), F.col("__t")), "left_anti")
+    return left
 
 
 def triage(held: DataFrame, open_: DataFrame, label_part: str, verdict: str) -> DataFrame:

@@ -146,7 +146,7 @@ def function_facts(fn, unit: str, owner: str, nested: bool, comments: Counter) -
     return out | {
         "unit": unit, "name": fn.name, "owner": owner, "start_line": fn.lineno, "end_line": fn.end_lineno, "params": params, "is_method": bool(owner), "is_nested": nested, "decorators": [_name(d) for d in fn.decorator_list],
         "assigns": dict(assigns), "mutated": sorted(mutated), "bool_params": sum(_name(a.annotation) == "bool" for a in args), "annotated_arity": _tuple_arity(fn.returns), "loose_types": sum(_name(a).split("[")[0].split(".")[-1] in LOOSE and "[" not in _name(a) or _name(a) == "Any" for a in notes),
-        "comment_lines": sum(n for line, n in comments.items() if fn.lineno <= line <= fn.end_lineno),
+        "comment_lines": comments[id(fn)],
     }
 
 
@@ -158,13 +158,18 @@ def extract(text: str) -> list[tuple[str, dict]]:
             return [("issues", {"issue": f"nested more than {MAX_DEPTH} deep"})]
         tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
     except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError) as e:
-        return [("issues", {"issue": f"{type(e).__name__}: {e}"[:300]})]
+        return [("issues", {"issue": f"{type(e).__name__}: {e}"})]
     out: list[tuple[str, dict]] = []
 
     def add(table: str, /, **row) -> None:
         out.append((table, row))
 
-    comments = Counter(t.start[0] for t in tokens if t.type == tokenize.COMMENT)
+    spans = sorted(((n.lineno, -n.end_lineno, id(n)) for n in ast.walk(tree) if isinstance(n, DEFS)))
+    comments: Counter = Counter()  # a comment line belongs to the innermost function around it
+    for line in sorted({t.start[0] for t in tokens if t.type == tokenize.COMMENT}):
+        around = [i for s, e, i in spans if s <= line <= -e]
+        if around:
+            comments[around[-1]] += 1
     exported = {x.value for n in tree.body if isinstance(n, ast.Assign) and any(_name(t) == "__all__" for t in n.targets) and isinstance(n.value, (ast.List, ast.Tuple)) for x in n.value.elts if isinstance(x, ast.Constant)}
     skip = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING}
     local: dict[int, set[str]] = {}
@@ -232,6 +237,8 @@ def extract(text: str) -> list[tuple[str, dict]]:
             names[n.id] += 1
         elif isinstance(n, ast.Attribute):
             names[n.attr] += 1
+        elif isinstance(n, (*DEFS, ast.ClassDef)):
+            names[n.name] += 1  # a declaration counts, as that of a variable does
     for k, v in names.items():
         add("names", name=k, n=v)
     if ast.get_docstring(tree):

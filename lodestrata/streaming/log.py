@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestrata.runtime import shared_dir, ship
 
-LIMIT, DEFER_S = 2, 3 * 86400
+LIMIT, DEFER_S, FORGET_S = 2, 3 * 86400, 5 * 86400
 
 
 def event_log(spark: SparkSession, path: str, schema, form: str = "parquet") -> DataFrame:
@@ -46,19 +46,23 @@ def sessions(events: DataFrame, key: str, gap: str = "6 hours", late: str = "2 d
     return events.withWatermark("ts", late).groupBy(s, key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), key, "n")
 
 
-def defer(state: tuple[int, float, bool], now: float, limit: int = LIMIT, wait: float = DEFER_S) -> tuple[tuple[int, float, bool], bool]:
-    """State (count, deferred until or -1, expired once) after an appearance, and whether it is shown.
+NEW = (0, -1.0, False, -1.0)
+
+
+def defer(state: tuple[int, float, bool, float], now: float, limit: int = LIMIT, wait: float = DEFER_S, forget: float = FORGET_S) -> tuple[tuple[int, float, bool, float], bool]:
+    """State (count, deferred until or -1, expired once, last seen) after an appearance, and whether it is shown.
 
     A finding is shown ``limit`` times, then put off for ``wait``. At its end it is shown and
-    counted anew, once; the next deferral never ends.
+    counted anew, once; the next deferral never ends. One that reports don't have for more than
+    ``forget`` is forgotten: its next appearance is like its first.
     """
-    count, until, again = state
+    count, until, again, seen = NEW if 0 <= state[3] < now - forget else state
     if until >= 0:
         if again or now < until:
-            return state, False
+            return (count, until, again, now), False
         count, until, again = 0, -1.0, True
     count += 1
-    return (count, now + wait if count >= limit else -1.0, again), True
+    return (count, now + wait if count >= limit else -1.0, again, now), True
 
 
 SHOWN = "user_id long, event_type string, event_id long, shown boolean"
@@ -76,21 +80,24 @@ def deferred(events: DataFrame) -> DataFrame:
     """(user_id, event_type, event_id, shown) of a batch, each key's appearances in order of time."""
     ship(events.sparkSession)
     rows = events.select("user_id", "event_type", "event_id", "ts")
-    return rows.groupBy("user_id", "event_type").applyInPandas(lambda key, pdf: _shown(key, pdf, (0, -1.0, False))[1], SHOWN)
+    return rows.groupBy("user_id", "event_type").applyInPandas(lambda key, pdf: _shown(key, pdf, NEW)[1], SHOWN)
 
 
-def deferred_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream, with the state of each key in the state store."""
+def deferred_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The same over a stream, with the state of each key in the state store until the watermark is past its being forgotten."""
     ship(events.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (0, -1.0, False)
-        held, out = _shown(key, pd.concat(list(batches)), tuple(held))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, out = _shown(key, pd.concat(list(batches)), tuple(state.get) if state.exists else NEW)
         state.update(held)
+        state.setTimeoutTimestamp(max(int((held[3] + FORGET_S) * 1000) + 1000, state.getCurrentWatermarkMs() + 1000))
         yield out
 
-    rows = events.select("user_id", "event_type", "event_id", "ts").groupBy("user_id", "event_type")
-    return rows.applyInPandasWithState(step, SHOWN, "count int, until double, again boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select("user_id", "event_type", "event_id", "ts").withWatermark("ts", late).groupBy("user_id", "event_type")
+    return rows.applyInPandasWithState(step, SHOWN, "count int, until double, again boolean, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recapture(changed: DataFrame, scan: Callable[[DataFrame, int], None], every: str = "30 seconds", checkpoint: str | None = None):

@@ -96,6 +96,16 @@ def test_function_facts():
     assert f["return_arity"] == 3 and f["annotated_arity"] == 3 and f["mutated"] == ["a"] and f["assigns"]["y"] == 2 and f["comment_lines"] == 1 and f["max_nesting"] == 2
 
 
+def test_comments_belong_to_the_innermost_function():
+    f = {r["unit"]: r["comment_lines"] for r in rows("def outer():\n    # a\n    def inner():\n        # b\n        # c\n        pass\n    return inner\n# d\n", "functions")}
+    assert f == {"outer": 1, "outer.inner": 2}
+
+
+def test_declarations_count_as_names():
+    n = {r["name"]: r["n"] for r in rows("def helper():\n    pass\n\nhelper()\nx = 1\n\ndef alone():\n    pass\n", "names")}
+    assert n == {"helper": 2, "x": 1, "alone": 1}
+
+
 def test_other_facts():
     src = """
     from typing import TYPE_CHECKING

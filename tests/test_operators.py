@@ -49,6 +49,15 @@ def test_stitching(spark):
     assert dup.stitch(c, 1).where("cid = 'B'").count() == 2
 
 
+@pytest.mark.parametrize("n, left", [(9, 1), (16, 1), (256, 1)])
+def test_stitching_joins_chains(spark, n, left):
+    """A chain of n fragments that follow each other at a gap of 2, in two files."""
+    rows = [(i, f, i * 12, i * 12 + 10, 10) for i in range(n) for f in "xy"]
+    got = dup.stitch(spark.createDataFrame(rows, "cid int, file string, start int, end int, matched int"), 5).collect()
+    assert len({x["cid"] for x in got}) == left and sum(x["matched"] for x in got) == 20 * n
+    assert max(x["end"] for x in got) == n * 12 - 2 and min(x["start"] for x in got) == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_graphs(spark, seed):
     r = random.Random(seed)
@@ -125,6 +134,13 @@ def test_diffs(spark):
     lines = spark.createDataFrame(list(enumerate(text.split("\n"))), "n long, line string")
     assert {tuple(x) for x in diff.changed_ranges(lines).collect()} == {("x", 2, 4), ("x", 12, 12)}
     assert {tuple(x) for x in diff.added_lines(lines).collect()} == {("x", 2, "a"), ("x", 3, "b"), ("x", 4, "c"), ("x", 12, "n")}
+    two = [(d, i, x) for d, f, at in (("p", "f.py", 10), ("q", "g.py", 50)) for i, x in enumerate([f"--- a/{f}", f"+++ b/{f}", f"@@ -{at},0 +{at},2 @@", "+a", "+b"])]
+    both = spark.createDataFrame(two, "diff string, n long, line string")
+    assert {tuple(x)[:2] for x in diff.added_lines(both).collect()} == {("f.py", 10), ("f.py", 11), ("g.py", 50), ("g.py", 51)}
+    long = ["--- a/l", "+++ b/l", f"@@ -1,0 +5,{3 * diff.CHUNK} @@", *["+x"] * (3 * diff.CHUNK), "@@ -1 +900000 @@", "-o", "+n"]
+    found = diff.added_lines(spark.createDataFrame(list(enumerate(long)), "n long, line string"))
+    assert found.agg(F.min("line_no"), F.max(F.when(F.col("text") == "x", F.col("line_no"))), F.max("line_no"), F.countDistinct("line_no")).first() == (5, 3 * diff.CHUNK + 4, 900000, 3 * diff.CHUNK + 1)
+    assert {tuple(x) for x in diff.changed_ranges(spark.createDataFrame([(0, "? new.py")], "n long, line string")).collect()} == {("new.py", 1, diff.MAX)}
     places = spark.createDataFrame([(1, "x", 3, 5), (1, "z", 1, 2), (2, "x", 2, 2), (2, "x", 12, 13)], "id int, file string, start long, end long")
     hints = {x["id"]: x["hint"] for x in diff.clone_provenance(places, diff.changed_ranges(lines)).collect()}
     assert hints == {1: "copy of z:1", 2: "2 copies in this change"}
@@ -161,11 +177,17 @@ def test_ageing(spark):
 
 
 def test_deferral():
-    state, shown = (0, -1.0, False), []
-    for t in (0, 1, 2, 1 + 3 * 86400, 2 + 3 * 86400, 9 * 86400, 99 * 86400):
+    state, shown, day = log.NEW, [], 86400
+    for t in (0, 1, 2, 1 + 3 * day, 2 + 3 * day, 7 * day, 11 * day, 16 * day, 21 * day + 1, 21 * day + 2, 21 * day + 3):
         state, seen = log.defer(state, t)
         shown.append(seen)
-    assert shown == [True, True, False, True, True, False, False]
+    assert shown == [True, True, False, True, True, False, False, False, True, True, False]  # after five days of absence it begins again
+
+
+def test_signature_counts_equal_findings(spark):
+    f = spark.createDataFrame([("a", 1, "k"), ("a", 1, "k"), ("b", 2, "k")], "file string, line int, kind string")
+    one = lambda d: report.signature(d).first()[0]
+    assert one(f) == one(f.orderBy("file")) != one(f.where("file = 'b'")) and one(f.limit(0)) == 0
 
 
 def test_smell_rules(spark):
