@@ -95,12 +95,29 @@ def clone_impact_topk(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(order)).select("rank", "language", "first_file", "first_pos", "length", "n")
 
 
-@query()
+def _stitched(gap: int, passes: int = 8) -> str:
+    """The passes of gap stitching, one set of tables each."""
+    out = [f"s0 AS (SELECT first_file * 10000000 + first_pos AS cid, file, pos AS s, pos + length AS e, length AS matched FROM found JOIN ext USING (language, gram, first_file, first_pos))"]
+    for i in range(passes):
+        out.append(f"""pick{i} AS (SELECT * FROM (SELECT a.cid, a.file, a.s, b.cid AS b, b.e AS be, b.matched AS bm, row_number() OVER (PARTITION BY a.cid, a.file, a.s ORDER BY b.s, b.cid DESC) AS k FROM s{i} a JOIN s{i} b ON a.file = b.file AND a.cid <> b.cid AND b.s BETWEEN a.e AND a.e + {gap}) WHERE k = 1),
+size{i} AS (SELECT cid, count(*) AS n FROM s{i} GROUP BY 1),
+all{i} AS (SELECT p.cid, p.b FROM (SELECT cid, min(b) AS b, max(b) AS b2, count(*) AS k FROM pick{i} GROUP BY 1) p JOIN size{i} x ON x.cid = p.cid JOIN size{i} y ON y.cid = p.b WHERE b = b2 AND k = x.n AND x.n = y.n),
+pair{i} AS (SELECT b, min(cid) AS cid FROM all{i} GROUP BY 1),
+rank{i} AS (SELECT cid, b, 0 AS d FROM pair{i} WHERE cid NOT IN (SELECT b FROM pair{i}) UNION ALL SELECT p.cid, p.b, d + 1 FROM rank{i} r JOIN pair{i} p ON p.cid = r.b),
+even{i} AS (SELECT cid, b FROM rank{i} WHERE d % 2 = 0),
+s{i + 1} AS (SELECT * FROM s{i} WHERE cid NOT IN (SELECT cid FROM even{i} UNION ALL SELECT b FROM even{i})
+    UNION ALL SELECT cid, file, s.s, be, s.matched + bm FROM even{i} JOIN pick{i} USING (cid, b) JOIN s{i} s USING (cid, file, s))""")
+    return ", ".join(out)
+
+
+@query(f"""WITH RECURSIVE {EXTENDED}, {_stitched(15)}
+SELECT matched, count(DISTINCT cid) AS n_classes, count(*) AS n_places FROM s8 GROUP BY 1""")
 def clone_gap_stitched(spark, sf_dir):
-    """Left-maximal classes after gap stitching: (length, n_classes)."""
-    _, occ, classes = _classes(spark, sf_dir)
+    """Left-maximal classes at their full length after gap stitching: (matched, n_classes, n_places)."""
+    files, occ, classes = _classes(spark, sf_dir)
     found = dup.members(occ, classes.where("left_maximal"))
-    c = found.select(F.xxhash64("language", "h", "g").alias("cid"), "file", F.col("pos").alias("start"), (F.col("pos") + T).alias("end"), F.lit(T).alias("matched"))
+    full = found.join(dup.extended(found, files, T), [*dup.KEY, "first_file", "first_pos"])
+    c = full.select((F.col("first_file") * 10_000_000 + F.col("first_pos")).alias("cid"), "file", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end"), F.col("length").alias("matched"))
     return dup.stitch(c, 15).groupBy("matched").agg(F.countDistinct("cid").alias("n_classes"), F.count("*").alias("n_places"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 
@@ -35,15 +36,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that all executors see: spark.checkpoint.dir. Only where the executors are this process may it be unset: then it is a temporary folder."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that all executors of {sc.master} share")
+    sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="lodestrata-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, wherever it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run ``df`` once and go on from a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
