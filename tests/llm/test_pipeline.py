@@ -1,6 +1,7 @@
 """The pipeline over a small table with planted cases, each stage against what it should do."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from lodestrata.llm import decontaminate, simhash_dedup, token_records
@@ -40,3 +41,53 @@ def test_stages(spark, tmp_path):
             assert back == {(x[0], x[1]) for x in at.select("doc_id", "text").collect()}
         at = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, copies int, score double"
+
+
+def planted(spark, tmp_path, rows, labels, bench):
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, 0.5) for i, t, s in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+
+def through(spark, tmp_path):
+    """Rows after each stage, by (doc_id, text); the last stage's index by doc_id."""
+    docs, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, str(tmp_path))
+        assert i == len(corpus_pipeline.STAGES) - 1 or got.columns == docs.columns
+        got.write.parquet(f"{tmp_path}/stage{i}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{i}")
+        out.append(Counter((x["doc_id"], x["text"] if "text" in docs.columns else None) for x in docs.collect()))
+    return out
+
+
+def prose(r, n):
+    return " ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randint(0, 999)}" for _ in range(n))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty, repeated and very long rows, against what each stage says of them, by plain loops."""
+    r = random.Random(6)
+    item = prose(r, 20)
+    rows = [(i, prose(r, 40), f"s{i % 2}") for i in range(30)]
+    rows += [(40, None, "s0"), (40, None, "s0"), (41, "", None), (None, prose(r, 30), "s1"), (None, None, None), (42, rows[3][1], "s1"), (43, rows[4][1], "s0"), (43, rows[4][1], "s0"), (44, prose(r, 5) + " " + item, "s0"), (45, prose(r, 60_000), "s1")]
+    planted(spark, tmp_path, rows, [(1, 1, 0), (None, 1, 1), (2, None, None)], [(1, item), (2, None), (3, "")])
+    have = Counter((i, t) for i, t, _ in rows)
+    a, b, c, d, e = through(spark, tmp_path)
+    assert a == have  # labels of one kind only
+    assert b == have - Counter({(42, rows[3][1]): 1, (43, rows[4][1]): 2})
+    assert c == b - Counter({(44, rows[38][1]): 1})
+    assert set(d) <= set(c) and abs(sum(d.values()) - sum(c.values())) <= 1 + 1  # the repeated null row of s0 is drawn alike
+    assert sum(e.values()) == sum(d.values()) and {i for i, _ in e} == {i for i, _ in d}
+
+
+def test_empty_tables(spark, tmp_path):
+    planted(spark, tmp_path / "none", [], [], [])
+    assert not any(sum(x.values()) for x in through(spark, tmp_path / "none")) and corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    r = random.Random(1)
+    rows = [(i, prose(r, 30), "s") for i in range(12)]
+    planted(spark, tmp_path / "some", rows, [], [])
+    assert [sum(x.values()) for x in through(spark, tmp_path / "some")] == [12] * 5
