@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalar import matches_any
 from lodestrata.operators.graph import closure
+from lodestrata.runtime import cut
 
 
 def inbound_usage(edges: DataFrame) -> DataFrame:
@@ -68,6 +72,92 @@ def unused_methods(methods: DataFrame, bases: DataFrame, typed_uses: DataFrame,
     return left.select("class", "method", tier.alias("confidence")).where("confidence <> 'low'")
 
 
+@dataclass(frozen=True)
+class LanguageRules:
+    """What a language's conventions keep alive; a project's own lists come on top of them."""
+
+    entry_stems: frozenset = frozenset()
+    entry_globs: tuple = ()
+    registering: frozenset = frozenset()  # last parts of decorators that hand a symbol to a framework
+    neutral: frozenset = frozenset()  # decorators that say nothing about use
+    entry_bases: frozenset = frozenset()  # classes that a framework calls by inheritance
+
+    def plus(self, **own) -> LanguageRules:
+        return LanguageRules(**{f: type(getattr(self, f))([*getattr(self, f), *own.get(f, ())]) for f in self.__dataclass_fields__})
+
+
+LANGUAGE_RULES = {
+    "python": LanguageRules(
+        frozenset({"main", "__main__", "conftest", "setup", "manage", "wsgi", "asgi"}), ("**/tests/**", "**/test_*.py", "tests/**", "test_*.py"),
+        frozenset({"route", "get", "post", "put", "delete", "patch", "command", "group", "task", "shared_task", "fixture", "register", "receiver", "hookimpl", "listener", "errorhandler", "on", "event"}),
+        frozenset({"staticmethod", "classmethod", "property", "setter", "getter", "deleter", "cache", "lru_cache", "cached_property", "wraps", "dataclass", "abstractmethod", "override", "final", "overload", "contextmanager", "asynccontextmanager", "total_ordering", "singledispatch", "unique"}),
+        frozenset({"TestCase", "NodeVisitor", "NodeTransformer", "Thread", "Enum", "IntEnum", "StrEnum", "NamedTuple", "TypedDict", "Protocol", "BaseModel", "Model"}),
+    ),
+    "javascript": LanguageRules(frozenset({"index", "main", "app", "server"}), ("**/*.config.*", "**/*.test.*", "**/*.spec.*"), frozenset({"Component", "Injectable", "Controller", "Module"}), frozenset(), frozenset({"Component", "PureComponent", "HTMLElement"})),
+    "typescript": LanguageRules(frozenset({"index", "main", "app", "server"}), ("**/*.config.*", "**/*.test.*", "**/*.spec.*", "**/*.d.ts"), frozenset({"Component", "Injectable", "Controller", "Module"}), frozenset(), frozenset({"Component", "PureComponent", "HTMLElement"})),
+    "rust": LanguageRules(frozenset({"main", "lib", "build"}), ("tests/**", "benches/**", "examples/**")),
+}
+
+
+def decorator_class(decorators: Column, language: Column, rules: dict[str, LanguageRules] = LANGUAGE_RULES) -> Column:
+    """``live`` if a decorator registers the symbol, ``unknown`` if one isn't known, else ``neutral``."""
+    last = F.transform(decorators, lambda d: F.element_at(F.split(F.regexp_replace(d, r"\(.*$", ""), "[.]"), -1))
+    out = F.lit("neutral")
+    for name, r in rules.items():
+        live, known = (F.array(*map(F.lit, sorted(x))).cast("array<string>") for x in (r.registering, r.registering | r.neutral))
+        found = F.when(F.arrays_overlap(last, live), "live").when(F.size(F.array_except(last, known)) > 0, "unknown").otherwise("neutral")
+        out = F.when(language == name, found).otherwise(out)
+    return out
+
+
+def is_entry(file: Column, language: Column, rules: dict[str, LanguageRules] = LANGUAGE_RULES) -> Column:
+    """Whether a file starts things by its language's conventions."""
+    stem, out = F.regexp_extract(file, r"([^/]*?)(\.[A-Za-z]+)?$", 1), F.lit(False)
+    for name, r in rules.items():
+        out |= (language == name) & (stem.isin(sorted(r.entry_stems)) | matches_any(file, list(r.entry_globs)))
+    return out
+
+
+def entry_classes(bases: DataFrame, roots: list[str]) -> DataFrame:
+    """(file, class) that inherit from one of ``roots`` inside their file, over any number of classes of it; from (file, class, base)."""
+    b = bases.select("file", F.col("class"), F.element_at(F.split("base", "[.]"), -1).alias("base")).distinct()
+    known = front = cut(b.where(F.col("base").isin(roots)).select("file", "class").distinct())
+    while not front.isEmpty():
+        step = b.join(front.select("file", F.col("class").alias("base")), ["file", "base"]).select("file", "class").distinct()
+        front = cut(step.join(known, ["file", "class"], "left_anti"))
+        known = cut(known.union(front))
+    return known
+
+
+def evidence(attributes: DataFrame, hints: DataFrame, classes: DataFrame) -> dict[str, DataFrame]:
+    """What shows that a member is used, from attribute reads (file, unit, owner, base, attr), hints (file, unit, name, type) and classes (class).
+
+    typed: (class, method) read from a receiver whose type is one of ``classes``, or from a class itself;
+    self: (class, method) read from ``self`` or ``cls``; names: (method, n) read from anything else.
+    """
+    a = attributes.select("file", "unit", "owner", "base", "attr")
+    own = a.where("base in ('self', 'cls') and owner <> ''").select(F.col("owner").alias("class"), F.col("attr").alias("method")).distinct()
+    kinds = classes.select("class").distinct()
+    h = hints.select("file", F.col("unit").alias("__u"), F.col("name").alias("__n"), F.element_at(F.split(F.regexp_extract("type", r"^[\w.]*", 0), "[.]"), -1).alias("__t")).distinct()
+    near = (a["file"] == h["file"]) & (a["base"] == h["__n"]) & ((a["unit"] == h["__u"]) | (a["owner"] == h["__u"]))
+    at = a.where("base not in ('self', 'cls')").join(h, near, "left").select(F.coalesce("__t", "base").alias("class"), F.col("attr").alias("method"))
+    typed = at.join(kinds, "class", "left_semi").distinct()
+    names = at.join(kinds, "class", "left_anti").groupBy("method").agg(F.count("*").alias("n"))
+    return {"typed": typed, "self": own, "names": names}
+
+
+def exposed(classes: DataFrame, reexports: DataFrame, bases: DataFrame) -> DataFrame:
+    """(class) that are part of an interface: in ``__all__`` (class, in_all), re-exported by a package index (symbol), and the ancestors of these."""
+    out = classes.where("in_all").select("class").union(classes.join(reexports.select(F.col("symbol").alias("class")), "class", "left_semi").select("class")).distinct()
+    return out.union(hierarchy(bases).join(out, "class").select(F.col("ancestor").alias("class"))).distinct()
+
+
+def unused_properties(properties: DataFrame, bases: DataFrame, seen: dict[str, DataFrame], shown: DataFrame, managed: DataFrame) -> DataFrame:
+    """(class, property, confidence) of typed fields (class, property) without evidence of use; classes that a framework manages (class) are left out."""
+    m = properties.join(managed.select("class"), "class", "left_anti").select("class", F.col("property").alias("method"), F.startswith("property", F.lit("_")).alias("private"), F.lit(False).alias("decorated"), F.lit(False).alias("dunder"))
+    return unused_methods(m, bases, seen["typed"], seen["self"], seen["names"], shown).withColumnRenamed("method", "property")
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Findings of high confidence first."""
     order = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)

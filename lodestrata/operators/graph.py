@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalar import matches_any
 from lodestrata.runtime import cut
 
 
@@ -74,22 +75,28 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     root inside the colour is one component, which leaves the graph.
     """
     e = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst").distinct())
-    found: DataFrame | None = None
-    while not e.isEmpty():
+    n, found = e.count(), None
+    while n:
         while True:  # trim
-            n = e.count()
             e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if e.count() == n:
+            before, n = n, e.count()
+            if before == n:
                 break
-        if e.isEmpty():
+        if not n:
             break
-        color = cut(e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().withColumn("c", F.col("node")))
+        # the least node of a chain of edges is looked up over twice the distance in each round: a node takes
+        # the least of what it has, of its predecessors' and of what the node it names has
+        color = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().withColumn("c", F.col("node"))
+        total = None
         while True:
-            low = e.join(color, e.src == color.node).groupBy("dst").agg(F.min("c").alias("m"))
-            new = cut(color.join(low, color.node == low.dst, "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
-            if new.join(color.withColumnRenamed("c", "old"), "node").where("c <> old").isEmpty():
+            near = e.join(color, e.src == color.node).groupBy("dst").agg(F.min("c").alias("m"))
+            low = color.join(near, color.node == near.dst, "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
+            jump = low.select(F.col("node").alias("c"), F.col("c").alias("j"))
+            color = cut(low.join(jump, "c").select("node", F.least("c", "j").alias("c")))
+            now = color.agg(F.sum(F.pmod(F.xxhash64("node", "c"), F.lit(1 << 40)))).first()[0]
+            if now == total:
                 break
-            color = new
+            total = now
         inside = e.join(color.select(F.col("node").alias("src"), "c"), "src").join(color.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst").where("c = c2").select("src", "dst", "c")
         inside = cut(inside)
         back = front = cut(color.where("node = c").select("node", "c"))
@@ -102,6 +109,7 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst") ->
         found = back if found is None else found.union(back)
         gone = back.select("node")
         e = cut(e.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        n = e.count()
     if found is None:
         return edges.select(F.col(src).alias("node"), F.col(dst).alias("scc")).limit(0)
     named = found.groupBy("c").agg(F.min("node").alias("scc"), F.count("*").alias("n")).where("n >= 2").select("c", "scc")
@@ -109,11 +117,20 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst") ->
 
 
 def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(scc, members, n) of every cycle, and an edge table's order: largest first."""
+    """(scc, members, n) of every cycle, in no order; see :func:`reported`."""
     s = strongly_connected(edges, src, dst)
     return s.groupBy("scc").agg(F.array_sort(F.collect_set("node")).alias("members"), F.count("*").alias("n"))
 
 
+def reported(found: DataFrame, modules: DataFrame, exclude: list[str] = ()) -> DataFrame:
+    """Cycles (scc, members, n, ...) that have a member outside the globs, from modules (module, file); the gravest action first, then the largest."""
+    inside = modules.where(~matches_any(F.col("file"), list(exclude))).select(F.col("module").alias("__m")) if exclude else modules.select(F.col("module").alias("__m"))
+    kept = found.select("scc", F.explode("members").alias("__m")).join(inside, "__m", "left_semi").select("scc").distinct()
+    out = found.join(kept, "scc", "left_semi")
+    grave = [F.array_position(F.array(*map(F.lit, ("must_fix", "warning", "advisory", "info"))), F.col("action"))] if "action" in found.columns else []
+    return out.orderBy(*grave, F.desc("n"), "scc")
+
+
 def next_hops(edges: DataFrame, scc: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, scc, next): for each member of a cycle the least target of its edges into the same cycle."""
     a = scc.select(F.col("node").alias(src), "scc")

@@ -186,6 +186,19 @@ def god_nodes(edges: DataFrame, internal: int, total: int = 25, each: int = 4, f
     return c.join(hazards(edges, internal, floor, percent).select("node"), "node", "left_anti")
 
 
+def looping_helpers(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file, unit) of functions with a loop that calls a function of the same file that loops itself, from calls (file, unit, target, in_loop) and functions (file, unit, name, loops)."""
+    helper = functions.where("loops > 0").select("file", F.col("name").alias("target"), F.col("unit").alias("__h"))
+    return calls.where("in_loop").join(helper, ["file", "target"]).where("__h <> unit").select("file", "unit").distinct()
+
+
+def fill_spans(findings: DataFrame, units: DataFrame) -> DataFrame:
+    """Findings (file, line, end_line, ...) whose end isn't known end with the unit (file, start_line, end_line) that begins on their line."""
+    u = units.groupBy("file", F.col("start_line").alias("line")).agg(F.max("end_line").alias("__e"))
+    known = F.coalesce("end_line", F.lit(0)) > F.col("line")
+    return findings.join(u, ["file", "line"], "left").withColumn("end_line", F.when(known, F.col("end_line")).otherwise(F.coalesce("__e", "end_line"))).drop("__e").select(*findings.columns)
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Findings in order of action, severity and metric."""
     a = F.when(F.col("action") == "must_fix", 0).when(F.col("action") == "warning", 1).when(F.col("action") == "advisory", 2).otherwise(3)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import ship
+
 TOKEN = r"""[A-Za-z_$][A-Za-z0-9_$]*|\d[\d_.xa-fA-F]*|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|=>|->|::|[-+*/%=!<>&|^?:.,;(){}\[\]~@#]"""
 JS_IMPORT = r"""(?:import|export)\s+(?:type\s+)?(?:[\w$*{}\s,]+\s+from\s+)?['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)"""
-RUST_USE = r"(?m)^\s*(?:pub\s+)?use\s+([A-Za-z_][\w:]*)"
+RUST_USE = r"(?m)^\s*(?:pub\s+)?use\s+([^;]+);"
+JS_LOCAL, RUST_LOCAL = r"(?m)^[ \t]+(?:const|let|var)\s+([A-Za-z_$][\w$]*)", r"\blet\s+(?:mut\s+)?([A-Za-z_]\w*)"  # declarations inside a body
 DECLARED = {
     "javascript": r"(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)",
     "typescript": r"(?m)^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)",
@@ -22,20 +27,65 @@ def bare(text: Column) -> Column:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(file, language, words, rows); import lines give no token."""
+    """(file, language, words, rows, raw); import lines give no token. In ``words`` names that the file binds by itself are ``\\0local``."""
     lines = F.split(bare(F.col("text")), "\n")
     said = lambda x: F.when(F.ltrim(x).rlike(r"^(import|use|pub use)\b"), F.expr("cast(array() as array<string>)")).otherwise(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)))
-    base = files.where("language <> 'python'").select("file", "language", F.transform(lines, said).alias("w"))
+    bound = F.when(F.col("language") == "rust", F.regexp_extract_all("text", F.lit(RUST_LOCAL), F.lit(1))).otherwise(F.regexp_extract_all("text", F.lit(JS_LOCAL), F.lit(1)))
+    base = files.where("language <> 'python'").select("file", "language", F.transform(lines, said).alias("w"), F.array_distinct(bound).alias("bound"))
     at = F.transform("w", lambda x, i: F.transform(x, lambda _: i + 1))
-    return base.select("file", "language", F.flatten("w").alias("words"), F.flatten(at).alias("rows"))
+    raw = base.select("file", "language", F.flatten("w").alias("raw"), F.flatten(at).alias("rows"), "bound")
+    words = F.transform("raw", lambda x: F.when(F.array_contains("bound", x), "\0local").otherwise(x))
+    return raw.select("file", "language", words.alias("words"), "rows", "raw")
+
+
+JS_NAMES = r"""(?:import|export)\s+(?:type\s+)?([\w$*{}\s,]+?)\s+from\s+['"]([^'"]+)['"]"""
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(file, language, target) as written."""
+    """(file, language, target, symbols) as written; a Rust use tree gives a row for each of its leaves' modules.
+
+    Symbols are the names that are taken from the target: ``default`` for a default import, ``*`` for
+    all of it. Side-effect imports and ``require`` have none.
+    """
     t = bare(F.col("text"))
-    js = F.transform(F.arrays_zip(F.regexp_extract_all(t, F.lit(JS_IMPORT), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(JS_IMPORT), F.lit(2)).alias("b")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
-    found = F.when(F.col("language") == "rust", F.regexp_extract_all(t, F.lit(RUST_USE), F.lit(1))).otherwise(js)
-    return files.where("language <> 'python'").select("file", "language", F.explode(found).alias("target"))
+    none = F.expr("cast(array() as array<string>)")
+    said = F.transform(F.arrays_zip(F.regexp_extract_all(t, F.lit(JS_NAMES), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(JS_NAMES), F.lit(2)).alias("b")), lambda x: F.struct(x["b"].alias("target"), _names(x["a"]).alias("symbols")))
+    every = F.transform(F.arrays_zip(F.regexp_extract_all(t, F.lit(JS_IMPORT), F.lit(1)).alias("a"), F.regexp_extract_all(t, F.lit(JS_IMPORT), F.lit(2)).alias("b")), lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
+    bare_ones = F.transform(F.array_except(every, F.transform(said, lambda x: x["target"])), lambda x: F.struct(x.alias("target"), none.alias("symbols")))
+    js = files.where("language not in ('python', 'rust')").select("file", "language", F.explode(F.concat(said, bare_ones)).alias("i")).select("file", "language", "i.target", "i.symbols")
+    rust = files.where("language = 'rust'").select("file", "language", F.explode(F.regexp_extract_all(t, F.lit(RUST_USE), F.lit(1))).alias("use"))
+    ship(files.sparkSession)
+    leaves = F.pandas_udf(lambda col: col.map(use_leaves), "array<string>")
+    rust = rust.select("file", "language", F.explode(leaves("use")).alias("target"))
+    return js.union(rust.select("file", "language", "target", F.array(F.element_at(F.split("target", "::"), -1)).alias("symbols")).distinct())
+
+
+def use_leaves(tree: str) -> list[str]:
+    """The paths of a use tree: ``a::{b, c::{self, d as e}}`` is a::b, a::c and a::c::d."""
+    tree = re.sub(r"\s+as\s+\w+", "", tree)
+    out, held, at = [], [""], ""
+    for x in re.sub(r"\s+", "", tree):
+        if x == "{":
+            held.append(held[-1] + at)
+            at = ""
+        elif x in ",}":
+            if at:
+                out.append(held[-1] + at)
+            at = ""
+            if x == "}" and len(held) > 1:
+                held.pop()
+        else:
+            at += x
+    out += [held[-1] + at] if at else []
+    return sorted({re.sub("(::)?self$", "", x) for x in out} - {""})
+
+
+def _names(x: Column) -> Column:
+    """What an import clause takes: names in braces as they are called at their source, a default, everything."""
+    inner = F.filter(F.transform(F.split(F.regexp_extract(x, r"\{([^}]*)\}", 1), ","), lambda y: F.regexp_replace(F.trim(F.regexp_replace(y, r"^\s*type\s+", "")), r"\s+as\s+.*$", "")), lambda y: y != "")
+    outer = F.regexp_replace(x, r"\{[^}]*\}", "")
+    whole = F.when(F.contains(outer, F.lit("*")), F.array(F.lit("*"))).when(F.regexp_replace(outer, r"[\s,]", "") != "", F.array(F.lit("default"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.concat(whole, inner)
 
 
 def symbols(files: DataFrame) -> DataFrame:

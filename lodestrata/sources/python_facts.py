@@ -16,22 +16,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import ship
+from lodestrata.runtime import cut, ship
 
 MAX_DEPTH = 512
 SCHEMAS = {
     "issues": "issue string",
-    "tokens": "words array<string>, rows array<int>",
+    "tokens": "words array<string>, rows array<int>, raw array<string>",
     "imports": "target string, level int, symbols array<string>, bindings array<string>, line int, phase string, is_inline boolean",
     "symbols": "name string, kind string, line int, end_line int, decorators array<string>, in_all boolean",
     "names": "name string, n int",
-    "attributes": "base string, attr string, unit string",
-    "functions": "unit string, name string, owner string, start_line int, end_line int, params array<string>, is_method boolean, is_nested boolean, decorators array<string>, branches int, cognitive int, max_nesting int, returns int, magic_numbers int, chain_depth int, nested_ifs int, nested_ternaries int, empty_fallbacks int, broad_handlers int, repeated_guards int, assigns map<string,int>, short_fallbacks int, bool_params int, return_arity int, annotated_arity int, mutated array<string>, literal_memberships int, loose_types int, nested_loops int, sorts_in_loop int, comment_lines int",
+    "attributes": "base string, attr string, unit string, owner string",
+    "functions": "unit string, name string, owner string, start_line int, end_line int, params array<string>, is_method boolean, is_nested boolean, decorators array<string>, branches int, cognitive int, max_nesting int, returns int, magic_numbers int, chain_depth int, nested_ifs int, nested_ternaries int, empty_fallbacks int, broad_handlers int, repeated_guards int, assigns map<string,int>, short_fallbacks int, bool_params int, return_arity int, annotated_arity int, mutated array<string>, literal_memberships int, loose_types int, nested_loops int, sorts_in_loop int, loops int, comment_lines int",
     "classes": "name string, start_line int, end_line int, bases array<string>, is_abstract boolean, methods array<string>, stubs array<string>, properties array<string>",
     "members": "class string, method string, attr string",
     "calls": "unit string, target string, base string, line int, is_member boolean, in_loop boolean",
     "keys": "unit string, receiver string, key string",
     "docs": "symbol_path string, kind string, text string, line int",
+    "hints": "unit string, name string, type string",
+    "passes": "unit string, receiver string, target string, position int",
+    "iterations": "unit string, base string, line int, is_change boolean",
 }
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert, ast.match_case)
 NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
@@ -50,12 +53,28 @@ def _depth(tree: ast.AST) -> int:
     return deep
 
 
+def _bounded(loop: ast.AST) -> bool:
+    """Whether a loop's length is written in the source: a literal, a range of constants, or a view of one."""
+
+    def fixed(x: ast.AST) -> bool:
+        if isinstance(x, (ast.Tuple, ast.List, ast.Set, ast.Dict, ast.Constant)):
+            return True
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Name):
+            if x.func.id == "range":
+                return all(isinstance(a, ast.Constant) for a in x.args)
+            if x.func.id in ("enumerate", "reversed", "sorted", "zip", "list", "tuple"):
+                return bool(x.args) and any(map(fixed, x.args)) if x.func.id == "zip" else bool(x.args) and fixed(x.args[0])
+        return isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in ("items", "keys", "values") and fixed(x.func.value)
+
+    return isinstance(loop, (ast.For, ast.AsyncFor)) and fixed(loop.iter)
+
+
 def _name(n: ast.AST | None) -> str:
     return ast.unparse(n) if n is not None else ""
 
 
 def _own(fn: ast.AST):
-    """Nodes of a function without those of functions inside, each with its nesting and whether a loop is around it."""
+    """Nodes of a function without those of functions inside, each with its nesting and how many loops of open length are around it."""
     todo = [(c, 0, 0, fn) for c in reversed(list(ast.iter_child_nodes(fn)))]
     while todo:
         n, nest, loop, parent = todo.pop()
@@ -64,7 +83,7 @@ def _own(fn: ast.AST):
             continue
         is_elif = isinstance(n, ast.If) and isinstance(parent, ast.If) and parent.orelse == [n]
         deeper = nest + (isinstance(n, NESTS) and not is_elif)
-        todo += [(c, deeper, loop + isinstance(n, LOOPS), n) for c in reversed(list(ast.iter_child_nodes(n)))]
+        todo += [(c, deeper, loop + (isinstance(n, LOOPS) and not _bounded(n)), n) for c in reversed(list(ast.iter_child_nodes(n)))]
 
 
 def _chain(n: ast.AST) -> int:
@@ -129,8 +148,9 @@ def function_facts(fn, unit: str, owner: str, nested: bool, comments: Counter) -
             f["short_fallbacks"] += 1
         if isinstance(n, ast.Compare) and isinstance(n.ops[0], (ast.In, ast.NotIn)) and isinstance(n.comparators[0], (ast.Tuple, ast.List, ast.Set)) and n.comparators[0].elts and all(isinstance(x, ast.Constant) for x in n.comparators[0].elts):
             f["literal_memberships"] += 1
-        if isinstance(n, LOOPS) and loop:
-            f["nested_loops"] += 1
+        if isinstance(n, LOOPS) and not _bounded(n):
+            f["loops"] += 1
+            f["nested_loops"] += loop > 0
         if isinstance(n, ast.Call):
             called = n.func.attr if isinstance(n.func, ast.Attribute) else _name(n.func)
             f["sorts_in_loop"] += bool(loop) and called in ("sort", "sorted")
@@ -142,7 +162,7 @@ def function_facts(fn, unit: str, owner: str, nested: bool, comments: Counter) -
                     assigns[x.id] += 1
             if isinstance(t, (ast.Subscript, ast.Attribute)) and isinstance(t.value, ast.Name):
                 mutated.add(t.value.id)
-    out = {k: int(f[k]) for k in ("branches", "cognitive", "max_nesting", "returns", "magic_numbers", "chain_depth", "nested_ifs", "nested_ternaries", "empty_fallbacks", "broad_handlers", "repeated_guards", "short_fallbacks", "return_arity", "literal_memberships", "nested_loops", "sorts_in_loop")}
+    out = {k: int(f[k]) for k in ("branches", "cognitive", "max_nesting", "returns", "magic_numbers", "chain_depth", "nested_ifs", "nested_ternaries", "empty_fallbacks", "broad_handlers", "repeated_guards", "short_fallbacks", "return_arity", "literal_memberships", "nested_loops", "sorts_in_loop", "loops")}
     return out | {
         "unit": unit, "name": fn.name, "owner": owner, "start_line": fn.lineno, "end_line": fn.end_lineno, "params": params, "is_method": bool(owner), "is_nested": nested, "decorators": [_name(d) for d in fn.decorator_list],
         "assigns": dict(assigns), "mutated": sorted(mutated), "bool_params": sum(_name(a.annotation) == "bool" for a in args), "annotated_arity": _tuple_arity(fn.returns), "loose_types": sum(_name(a).split("[")[0].split(".")[-1] in LOOSE and "[" not in _name(a) or _name(a) == "Any" for a in notes),
@@ -190,17 +210,32 @@ def extract(text: str) -> list[tuple[str, dict]]:
             if not path:
                 add("symbols", name=n.name, kind="function", line=n.lineno, end_line=n.end_lineno, decorators=[_name(d) for d in n.decorator_list], in_all=n.name in exported)
             add("functions", **function_facts(n, unit, owner, nested, comments))
-            bound = {a.arg for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]} | {x.id for x in ast.walk(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)}
+            bound = {a.arg for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]} | {x.id for x, *_ in _own(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)}
             for line in range(n.lineno, n.end_lineno + 1):
                 local[line] = bound
             units[unit] = n
+            for a in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]:
+                if a.annotation:
+                    add("hints", unit=unit, name=a.arg, type=_name(a.annotation).strip("'\""))
             for m, _, loop, _ in _own(n):
+                made = isinstance(m, ast.Assign) and isinstance(m.value, ast.Call) and _name(m.value.func)
+                if made and made.split(".")[-1][:1].isupper() or isinstance(m, ast.AnnAssign):
+                    for t in m.targets if isinstance(m, ast.Assign) else [m.target]:
+                        if isinstance(t, (ast.Name, ast.Attribute)):
+                            add("hints", unit=owner if owner and _name(t).startswith("self.") else unit, name=_name(t), type=made if isinstance(m, ast.Assign) else _name(m.annotation).strip("'\""))
+                if isinstance(m, (ast.For, ast.AsyncFor)) and isinstance(m.iter, (ast.Name, ast.Attribute)):
+                    add("iterations", unit=unit, base=_name(m.iter), line=m.lineno, is_change=False)
+                if isinstance(m, ast.Call) and isinstance(m.func, ast.Attribute) and m.func.attr in MUTATORS:
+                    add("iterations", unit=unit, base=_name(m.func.value), line=m.lineno, is_change=True)
                 if isinstance(m, ast.Call):
+                    for i, a in enumerate(m.args):
+                        if isinstance(a, ast.Name):
+                            add("passes", unit=unit, receiver=a.id, target=m.func.attr if isinstance(m.func, ast.Attribute) else _name(m.func), position=i)
                     add("calls", unit=unit, target=m.func.attr if isinstance(m.func, ast.Attribute) else _name(m.func), base=_name(m.func.value) if isinstance(m.func, ast.Attribute) else "", line=m.lineno, is_member=isinstance(m.func, ast.Attribute), in_loop=loop > 0)
                 if isinstance(m, ast.Subscript) and isinstance(m.value, ast.Name) and isinstance(m.slice, ast.Constant) and isinstance(m.slice.value, str):
                     add("keys", unit=unit, receiver=m.value.id, key=m.slice.value)
                 if isinstance(m, ast.Attribute):
-                    add("attributes", base=_name(m.value), attr=m.attr, unit=unit)
+                    add("attributes", base=_name(m.value), attr=m.attr, unit=unit, owner=owner)
                     if owner and _name(m.value) in ("self", "cls"):
                         add("members", **{"class": owner, "method": n.name, "attr": m.attr})
             doc = ast.get_docstring(n)
@@ -246,7 +281,7 @@ def extract(text: str) -> list[tuple[str, dict]]:
     docs = {(m.value.lineno, m.value.end_lineno) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.ClassDef, *DEFS)) for m in n.body[:1] if isinstance(m, ast.Expr) and isinstance(m.value, ast.Constant) and isinstance(m.value.value, str)}
     quiet = {x for s, e in docs for x in range(s, e + 1)} | {x for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for x in range(n.lineno, n.end_lineno + 1)}
     kept = [t for t in tokens if t.type not in skip and t.start[0] not in quiet]
-    add("tokens", words=["\0local" if t.type == tokenize.NAME and t.string in local.get(t.start[0], ()) else t.string for t in kept], rows=[t.start[0] for t in kept])
+    add("tokens", words=["\0local" if t.type == tokenize.NAME and t.string in local.get(t.start[0], ()) else t.string for t in kept], rows=[t.start[0] for t in kept], raw=[t.string for t in kept])
     return out
 
 
@@ -259,5 +294,5 @@ def facts(files: DataFrame) -> dict[str, DataFrame]:
             yield pd.DataFrame([(f, k, json.dumps(r)) for f, t in zip(b["file"], b["text"]) for k, r in extract(t or "")], columns=["file", "kind", "row"])
 
     rows = files.where("language = 'python'").select("file", "text").mapInPandas(run, "file string, kind string, row string")
-    rows = rows.persist()
+    rows = cut(rows)
     return {k: rows.where(F.col("kind") == k).select("file", F.from_json("row", s).alias("r")).select("file", "r.*") for k, s in SCHEMAS.items()}

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import ship
+from lodestrata.runtime import cut, ship
 from lodestrata.sources.python_facts import MUTATORS, SCHEMAS
 
 TOKEN = re.compile(r"""(?P<c>//[^\n]*|/\*.*?\*/)|(?P<s>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<n>\b\d[\w.]*)|(?P<w>[A-Za-z_$][\w$]*)|(?P<o>=>|->|::|&&|\|\||\?\?|\?\.|[{}()\[\];,.:?=<>!+\-*/%&|^~@#])""", re.S)
@@ -120,7 +120,7 @@ def extract(text: str, language: str) -> list[tuple[str, dict]]:
         inner = [(h[1], h[5]) for h in heads if h[1] > c and h[5] < e]
         body = [k for k in range(c + 1, e) if not any(x <= k <= y for x, y in inner)]
         owner = next((n for n, x, y in reversed(classes) if x < s < y), "")
-        f = dict.fromkeys(["branches", "cognitive", "max_nesting", "returns", "magic_numbers", "chain_depth", "nested_loops", "sorts_in_loop", "short_fallbacks", "broad_handlers", "empty_fallbacks", "nested_ifs", "nested_ternaries", "repeated_guards", "bool_params", "return_arity", "annotated_arity", "literal_memberships", "loose_types"], 0)
+        f = dict.fromkeys(["branches", "cognitive", "max_nesting", "returns", "magic_numbers", "chain_depth", "nested_loops", "sorts_in_loop", "loops", "short_fallbacks", "broad_handlers", "empty_fallbacks", "nested_ifs", "nested_ternaries", "repeated_guards", "bool_params", "return_arity", "annotated_arity", "literal_memberships", "loose_types"], 0)
         stack, pending, assigns, mutated, chain = [], None, {}, set(), 0
         unit = f"{owner}.{name}" if owner else name
         for k in body:
@@ -129,6 +129,7 @@ def extract(text: str, language: str) -> list[tuple[str, dict]]:
             if kind == "w" and x in NESTS and not (x == "if" and k and t[k - 1][1] == "else"):
                 f["cognitive"] += 1 + nest if x not in ("try",) else 0
                 f["nested_loops"] += x in LOOPS and loops > 0
+                f["loops"] += x in LOOPS
             if x in ("if", "for", "while", "loop", "case", "catch") or (x in ("&&", "||", "??", "?") and kind == "o") or (rust and x == "=>"):
                 f["branches"] += 1
             if kind == "w" and x in NESTS:
@@ -169,5 +170,6 @@ def facts(files: DataFrame) -> dict[str, DataFrame]:
         for b in batches:
             yield pd.DataFrame([(f, k, json.dumps(r)) for f, g, t in zip(b["file"], b["language"], b["text"]) for k, r in extract(t or "", g)], columns=["file", "kind", "row"])
 
-    rows = files.where("language <> 'python'").select("file", "language", "text").mapInPandas(run, "file string, kind string, row string").persist()
+    rows = files.where("language <> 'python'").select("file", "language", "text").mapInPandas(run, "file string, kind string, row string")
+    rows = cut(rows)
     return {k: rows.where(F.col("kind") == k).select("file", F.from_json("row", SCHEMAS[k]).alias("r")).select("file", "r.*") for k in ("functions", "classes", "calls")}

@@ -98,6 +98,25 @@ def config(root: str, name: str = "lodestrata") -> tuple[dict, list[str]]:
     return {}, []
 
 
+def jsonc(text: str):
+    """The value of JSON with comments and trailing commas; a comment's marks inside strings are text."""
+    out = re.sub(r'("(?:[^"\\\\]|\\\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m.group(1) or "", text, flags=re.S)
+    return json.loads(re.sub(r'("(?:[^"\\\\]|\\\\.)*")|,(\s*[}\]])', lambda m: m.group(1) or m.group(2), out, flags=re.S))
+
+
+def path_aliases(root: str) -> list[tuple[str, str]]:
+    """(pattern, replacement) of the compiler's paths, relative to ``root``; a file that can't be read gives none."""
+    for name in ("tsconfig.json", "jsconfig.json"):
+        try:
+            with open(os.path.join(root, name)) as f:
+                options = jsonc(f.read()).get("compilerOptions", {})
+        except (OSError, ValueError, AttributeError):
+            continue
+        base = options.get("baseUrl", ".")
+        return [(k, os.path.normpath(os.path.join(base, v[0]))) for k, v in options.get("paths", {}).items() if v]
+    return []
+
+
 def entry_modules(root: str) -> set[str]:
     """Modules that a manifest starts: Python scripts and entry points, Rust binaries."""
     out: set[str] = set()
