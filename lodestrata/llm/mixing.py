@@ -12,7 +12,8 @@ of ``total``.
 Random numbers are hashes of (seed, doc_id, source), so a run can be repeated. The unit is the
 distinct (doc_id, source): rows that repeat it get equal copies and count once. A null source is a
 source like others, named by None in ``weights``; null doc_ids of a source are one unit.
-Sources without a weight get no copy. Weights of sources without documents are dropped
+Null, empty and very long texts don't matter, as no text is read. Equal random numbers are
+ordered by doc_id. Sources without a weight get no copy. Weights of sources without documents are dropped
 and the rest scaled to 1. An empty table gives an empty result. Extra columns are kept by
 :func:`mixed` and ignored by :func:`copies`.
 """
@@ -28,6 +29,7 @@ from lodestrata.llm.textkit import mix
 from lodestrata.runtime import cut, fresh, ship
 
 SEED, FAN_IN, BUCKET = 20240611, 64, 65536
+SOURCES = 100_000  # that are broadcast at most, a row each
 ALPHA = 0.7
 
 
@@ -67,23 +69,48 @@ def pivot(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
     return np.array(p, dtype=float), held
 
 
-def copies(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = SEED, fan_in: int = FAN_IN, bucket: int = BUCKET) -> DataFrame:
+def _shares(units: DataFrame, weights: dict | None, total: int | None, bucket: int, limit: int):
+    """(__s, s, e, buckets) of each source: its number, expected copies of a document and buckets; how many sources, the most buckets, and how to join them.
+
+    Up to ``limit`` sources are a list that is broadcast; more stay a table that is joined by a shuffle.
+    """
+    spark = units.sparkSession
+    counts = cut(units.groupBy("source").agg(F.count("*").alias("n")))
+    names = counts.count()
+    if names <= limit:
+        n = {r[0]: r[1] for r in counts.collect()}  # a row per source, limit at most
+        given = tempered(n) if weights is None else weights
+        w = {k: max(0.0, float(given.get(k, 0.0))) for k in n}
+        whole, total = sum(w.values()), sum(n.values()) if total is None else total
+        rows = [(k, i, total * w[k] / whole / n[k] if whole else 0.0, max(1, -(-n[k] // bucket))) for i, k in enumerate(sorted(n, key=lambda k: (k is None, k or "")))]
+        return spark.createDataFrame(rows, "__s string, s int, e double, buckets int"), names, max([0, *(r[3] for r in rows)]), F.broadcast
+    if weights is None:
+        w = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(ALPHA)))
+    else:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "__k string, w double")
+        w = counts.join(given, counts.source.eqNullSafe(F.col("__k")), "left").select("source", "n", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
+    w = cut(w.orderBy(F.col("source").isNull(), "source").withColumns({"pid": F.spark_partition_id(), "mid": F.monotonically_increasing_id()}))
+    sums = w.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    before, begin = 0, {}
+    for pid, n in sorted(map(tuple, w.groupBy("pid").count().collect())):  # a row per partition
+        begin[pid], before = before, before + n
+    at = F.create_map(*[F.lit(x) for kv in begin.items() for x in kv])
+    number = (F.col("mid") - F.shiftleft(F.col("pid").cast("long"), 33) + F.element_at(at, F.col("pid"))).cast("int")
+    goal = float(sums["n"] if total is None else total)
+    each = F.lit(goal) * F.col("w") / F.lit(float(sums["w"] or 0)) / F.col("n") if sums["w"] else F.lit(0.0)
+    shares = w.select(F.col("source").alias("__s"), number.alias("s"), each.alias("e"), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket)).cast("int").alias("buckets"))
+    return cut(shares), names, -(-sums["most"] // bucket), lambda df: df
+
+
+def copies(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = SEED, fan_in: int = FAN_IN, bucket: int = BUCKET, sources: int = SOURCES) -> DataFrame:
     """(doc_id, source, copies) of every distinct (doc_id, source).
 
     ``weights``: of each source, by default :func:`tempered`; ``total``: documents of the output, by default as many as there are.
     """
     ship(docs.sparkSession)
     units = cut(docs.select(F.col("doc_id").cast("long"), "source").distinct())
-    counts = {r[0]: r[1] for r in units.groupBy("source").count().collect()}  # a row per source
-    given = tempered(counts) if weights is None else weights
-    w = {k: max(0.0, float(given.get(k, 0.0))) for k in counts}
-    whole = sum(w.values())
-    total = sum(counts.values()) if total is None else total
-    each = {k: (total * w[k] / whole / counts[k] if whole else 0.0) for k in counts}
-    names = sorted(counts, key=lambda k: (k is None, k or ""))
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(k, i, each[k], max(1, -(-counts[k] // bucket))) for i, k in enumerate(names)], "__s string, s int, e double, buckets int")
-    joined = units.join(F.broadcast(shares), units.source.eqNullSafe(F.col("__s")))  # a row per source
+    shares, names, most, hint = _shares(units, weights, total, bucket, sources)
+    joined = units.join(hint(shares), units.source.eqNullSafe(F.col("__s")))
     rows = joined.select(
         F.col("doc_id").alias("id"), "s", F.floor("e").cast("long").alias("sure"), (F.col("e") - F.floor("e")).alias("p"),
         F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "s"), "buckets").alias("b"),
@@ -104,11 +131,11 @@ def copies(docs: DataFrame, weights: dict | None = None, total: int | None = Non
     form = "id long, s int, sure long, p double, b long, r long, open boolean"
     done = cut(rows.groupBy("s", "b").applyInArrow(settler(0), form))
     settled, left = done.where("not open"), done.where("open").drop("open")
-    width, level = max([1, *(-(-n // bucket) for n in counts.values())]), 1
+    width, level = max(1, most), 1
     keys = ["s", "b"]  # the buckets of a source, fan_in at a time; then the sources
     while width > 1 or keys == ["s", "b"]:
         if width <= 1:
-            keys, width = ["b"], max(2, len(names))
+            keys, width = ["b"], max(2, names)
             left = left.withColumn("b", F.col("s").cast("long"))
         up = left.withColumn("b", F.floor(F.col("b") / fan_in).cast("long"))
         done = cut(up.groupBy(*keys).applyInArrow(settler(level), form))
@@ -116,7 +143,7 @@ def copies(docs: DataFrame, weights: dict | None = None, total: int | None = Non
         width, level = -(-width // fan_in), level + 1
     last = left.withColumn("p", (F.pmod("r", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col("p")).cast("double")).withColumn("open", F.lit(False))
     out = settled.union(last).select("id", "s", (F.col("sure") + F.round("p").cast("long")).alias("copies"))
-    return out.join(F.broadcast(shares.select(F.col("__s").alias("source"), "s")), "s").select(F.col("id").alias("doc_id"), "source", "copies")
+    return out.join(hint(shares.select(F.col("__s").alias("source"), "s")), "s").select(F.col("id").alias("doc_id"), "source", "copies")
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = SEED, fan_in: int = FAN_IN, bucket: int = BUCKET) -> DataFrame:

@@ -9,7 +9,9 @@ index rows of what it wrote; the index table names only shards of tasks that suc
 so a lost or repeated task leaves at most a file that nothing refers to. A reader needs
 one seek for each index row, in any order (:func:`read_records`).
 
-Null and empty texts give records of no data. Repeated rows give a record each. An empty
+Null and empty texts give records of no data. Very long texts are one record each, in memory
+at once. Repeated rows and equal texts give a record each; records of a task are in the order
+of its rows. A vocabulary that ``width`` bytes can't number is an error. An empty
 table gives an empty index. Nulls in other columns don't matter; extra columns aren't
 written. The tokenizer is a file of byte-pair ranks, its path a parameter.
 """
@@ -136,6 +138,8 @@ def write_records(docs: DataFrame, to: str | None = None, ranks: str = RANKS, wi
 
     def run(batches):
         enc, where, out, at = encoder(ranks), None, None, 0
+        if enc.max_token_value >= 1 << 8 * width:
+            raise ValueError(f"token ids up to {enc.max_token_value} don't fit into {width} bytes")
         for b in batches:
             for part in K.slices(b):
                 ids = [enc.encode_ordinary(x or "") for x in part.column("text").to_pylist()]

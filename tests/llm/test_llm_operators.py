@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,24 @@ def test_token_records(spark, docs, rows, nothing, tmp_path):
         token_records.read_record(f, first["offset"], first["length"])
 
 
+def test_record_bytes(spark, tmp_path):
+    """A shard is what struct and a bit by bit checksum make of the tokens."""
+    texts = ["one two", None, "", "x" * 5000, "déjà vu", "one two"]
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, offset int").coalesce(1)
+    index = token_records.write_records(d, f"file://{tmp_path}").orderBy("offset").collect()
+    enc, want, at = token_records.encoder(token_records.RANKS), b"", []
+    mask = lambda x: (((crc_by_bit(x) >> 15) | (crc_by_bit(x) << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+    for t in texts:
+        ids = enc.encode_ordinary(t or "")
+        data, head = struct.pack(f"<{len(ids)}H", *ids), struct.pack("<Q", 2 * len(ids))
+        at.append((len(want), 16 + len(data), len(ids), mask(head), mask(data)))
+        want += head + struct.pack("<I", mask(head)) + data + struct.pack("<I", mask(data))
+    assert open(index[0]["shard"].removeprefix("file://"), "rb").read() == want
+    assert [(x["offset"], x["length"], x["n_tokens"], x["length_crc"], x["data_crc"]) for x in index] == at and [x["doc_id"] for x in index] == list(range(6))
+    with pytest.raises(Exception, match="don't fit into 1 bytes"):
+        token_records.write_records(d, f"file://{tmp_path}", width=1)
+
+
 def test_decontamination(spark, docs, rows, nothing):
     r = random.Random(9)
     rows = [*rows, (200, rows[7][1], "s0"), (200, rows[7][1], "s0"), (201, "word " * 400_000 + rows[7][1], "s0")]
@@ -320,8 +339,8 @@ def test_pivot(p, seed):
 def test_mixing(spark, docs, rows, nothing):
     units = {(i, s) for i, _, s in rows}
     n = Counter(s for _, s in units)
-    for weights, total, bucket, fan in ((None, None, 65536, 64), ({"s0": 3, "s1": 1, "absent": 5}, 333, 4, 2), ({None: 1}, 10, 2, 2)):
-        got = mixing.copies(docs, weights, total, bucket=bucket, fan_in=fan).collect()
+    for weights, total, bucket, fan, limit in ((None, None, 65536, 64, 9), (None, None, 4, 2, 1), ({"s0": 3, "s1": 1, "absent": 5}, 333, 4, 2, 9), ({"s0": 3, "s1": 1, "absent": 5}, 333, 4, 2, 1), ({None: 1}, 10, 2, 2, 9), ({None: 1}, 10, 2, 2, 2)):
+        got = mixing.copies(docs, weights, total, bucket=bucket, fan_in=fan, sources=limit).collect()
         assert Counter((x["doc_id"], x["source"]) for x in got) == Counter(units)
         w = weights or mixing.tempered(n)
         whole, t = sum(w.get(k, 0) for k in n), total or sum(n.values())
@@ -340,6 +359,65 @@ def test_mixing(spark, docs, rows, nothing):
     assert mixing.copies(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+@pytest.mark.parametrize("bucket, fan", [(65536, 64), (7, 2)])
+def test_mixing_against_a_replay(spark, docs, rows, bucket, fan):
+    """The same hashes, rounded in plain loops: buckets of a source, then sources, pair by pair."""
+    units = sorted({(i, s) for i, _, s in rows}, key=str)
+    n = Counter(s for _, s in units)
+    names = sorted(n, key=lambda k: (k is None, k or ""))
+    w = {k: n[k] ** mixing.ALPHA for k in n}
+    each = {k: len(units) * w[k] / sum(w.values()) / n[k] for k in n}
+    frame_ = spark.createDataFrame([(i, names.index(s), max(1, -(-n[s] // bucket))) for i, s in units], "doc_id long, s int, buckets int")
+    hashed = frame_.selectExpr("doc_id", "s", f"xxhash64({mixing.SEED}, doc_id, s) as r", f"pmod(xxhash64({mixing.SEED + 1}, doc_id, s), buckets) as b").collect()
+    want, open_ = {}, []
+
+    def settle(group, level):
+        """Rows [id, s, p, r] of one group, in the order of their hashes; the one left open, if any."""
+        held = None
+        for row in sorted(group, key=lambda x: (x[3], -(2**63) if x[0] is None else x[0])):
+            u = (int(K.mix(np.array([row[3]], np.int64).view(np.uint64) + np.uint64(level))[0]) >> 11) / 2.0**53
+            if row[2] <= 1e-9 or row[2] >= 1 - 1e-9:
+                want[row[0], row[1]] = round(row[2])
+            elif held is None:
+                held = row
+            else:
+                a, b = held, row
+                t = a[2] + b[2]
+                first = u * t < a[2] if t < 1 else u * (2 - t) < 1 - b[2]
+                win, lose = (a, b) if first else (b, a)
+                if t < 1:
+                    win[2], want[lose[0], lose[1]], held = t, 0, win
+                else:
+                    want[win[0], win[1]], lose[2], held = 1, t - 1, lose
+                if held[2] <= 1e-9 or held[2] >= 1 - 1e-9:
+                    want[held[0], held[1]], held = round(held[2]), None
+        return held
+
+    groups = defaultdict(list)
+    for x in hashed:
+        e = each[names[x["s"]]]
+        groups[x["s"], x["b"]].append([x["doc_id"], x["s"], e - int(e), x["r"]])
+    left = {k: h for k, g in groups.items() if (h := settle(g, 0))}
+    width, level = max(-(-k // bucket) for k in n.values()), 1
+    while width > 1:
+        groups = defaultdict(list)
+        for (s, b), h in left.items():
+            groups[s, b // fan].append(h)
+        left = {k: h for k, g in groups.items() if (h := settle(g, level))}
+        width, level = -(-width // fan), level + 1
+    left, width = {s: h for (s, _), h in left.items()}, max(2, len(names))
+    while width > 1:
+        groups = defaultdict(list)
+        for b, h in left.items():
+            groups[b // fan].append(h)
+        left = {k: h for k, g in groups.items() if (h := settle(g, level))}
+        width, level = -(-width // fan), level + 1
+    for h in left.values():
+        want[h[0], h[1]] = int((h[3] % (1 << 30)) / float(1 << 30) < h[2])
+    got = {(x["doc_id"], names.index(x["source"])): x["copies"] for x in mixing.copies(docs, bucket=bucket, fan_in=fan).collect()}
+    assert got == {k: int(each[names[k[1]]]) + v for k, v in want.items()}
+
+
 def test_mixing_is_fair(spark):
     d = spark.range(200).selectExpr("id as doc_id", "'t' as text", "if(id % 4 = 0, 'a', 'b') as source")
     total = Counter()
