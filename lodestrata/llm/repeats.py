@@ -4,20 +4,28 @@ This is the frame that :mod:`substring_dedup` and :mod:`suffix_dedup` share. An
 gives each window a key that depends on the window's words alone, so equal windows have
 equal keys wherever they stand; consecutive windows with one key form a segment.
 
-1. Each task names its segments: key, hash of the segment's words, place. Only these go
-   through a shuffle, packed into arrays. Where all segments of a key are one string, its
-   windows repeat if it occurs twice, and nothing else has to be read. Windows that repeat
-   within one segment are added as segments of their own.
+1. Each task names its segments: key, two fingerprints of the segment's words, place. Only
+   these go through a shuffle, packed into arrays. Where all segments of a key are one
+   string, its windows repeat if it occurs twice, and nothing else has to be read. Windows
+   that repeat within one segment are added as segments of their own.
 2. For keys with several different strings, one segment of each string sends its words.
    The operator decides which of their windows repeat.
 3. The repeated windows go back to their documents and are merged into spans.
 
-No step has a cap; a key's segments meet in one task as places (36 bytes each), its
-distinct strings as words.
+What equality rests on: words are compared by their 64-bit hashes. In step 2 windows are
+compared word by word. In step 1 two segments are one string if their lengths and both
+fingerprints agree, 128 bits; one is a polynomial of the words' hashes, the other of the
+mixed hashes of all windows, so what makes one of them collide by its structure (regular
+sequences of two symbols do) doesn't the other.
+
+No step has a cap; a key's segments meet in one task as places (48 bytes each), its
+distinct strings as words. Very long texts are taken whole, in memory proportional to their
+words.
 
 A null or short text has no window. Rows that repeat a doc_id and text are copies of each
-other, so all their windows repeat; they have one set of spans. Null doc_ids are kept as
-null. An empty table has no span. Extra columns are ignored.
+other, so all their windows repeat; they have one set of spans. Equal texts of different
+doc_ids have spans each, so ties need no order. Null doc_ids are kept as null. An empty
+table has no span. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ from lodestrata.llm import textkit as K
 from lodestrata.runtime import cut, partitions, ship
 
 U = np.uint64
-SEG = np.dtype([("key", "<u8"), ("fp", "<u8"), ("uid", "<i8"), ("start", "<i4"), ("nwin", "<i4")])
+SEG = np.dtype([("key", "<u8"), ("fp", "<u8"), ("fq", "<u8"), ("uid", "<i8"), ("start", "<i4"), ("nwin", "<i4")])
 RUN = np.dtype([("key", "<u8"), ("uid", "<i8"), ("start", "<i4"), ("nwin", "<i4"), ("kind", "<i4")])
 FOUND, ASKED, SHOWN = 0, 1, 2  # windows that repeat; words needed, verdict needed; words needed only
 
@@ -57,6 +65,9 @@ def segments(w: K.Words, uid: np.ndarray, keys: Keys, length: int) -> np.ndarray
     acc = K.prefix(w.h)
     out = np.zeros(len(s), SEG)
     out["key"], out["fp"] = v[s], K.spans(acc, s, s + count + length - 1)
+    every = K.mix(K.grams(w.h, length) ^ U(0x6A09E667F3BCC909))
+    acc2 = K.prefix(every)
+    out["fq"] = K.spans(acc2, s, s + count)
     out["uid"], out["start"], out["nwin"] = uid[doc[s]], s - w.off[doc[s]], count
     seg = np.repeat(np.arange(len(s), dtype=np.uint64), count)
     wh = K.spans(acc, valid, valid + length)
@@ -68,7 +79,7 @@ def segments(w: K.Words, uid: np.ndarray, keys: Keys, length: int) -> np.ndarray
         at = np.searchsorted(again, tagged)
         at = np.flatnonzero(again[np.minimum(at, len(again) - 1)] == tagged)
         own = np.zeros(len(at), SEG)
-        own["key"], own["fp"] = K.mix(wh[at]), wh[at]
+        own["key"], own["fp"], own["fq"] = K.mix(wh[at]), wh[at], every[valid[at]]
         p = valid[at]
         own["uid"], own["start"], own["nwin"] = uid[doc[p]], p - w.off[doc[p]], 1
         out = np.concatenate([out, own])
@@ -89,11 +100,11 @@ def unpack(col: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
 
 def decide(t: np.ndarray) -> np.ndarray:
     """Which segments repeat, and which have to send their words, from all segments of some keys."""
-    t = t[np.lexsort((t["start"], t["uid"], t["nwin"], t["fp"], t["key"]))]
+    t = t[np.lexsort((t["start"], t["uid"], t["nwin"], t["fq"], t["fp"], t["key"]))]
     new_key = np.ones(len(t), bool)
     new_key[1:] = t["key"][1:] != t["key"][:-1]
     new = new_key.copy()
-    new[1:] |= (t["fp"][1:] != t["fp"][:-1]) | (t["nwin"][1:] != t["nwin"][:-1])
+    new[1:] |= (t["fp"][1:] != t["fp"][:-1]) | (t["fq"][1:] != t["fq"][:-1]) | (t["nwin"][1:] != t["nwin"][:-1])
     at = np.flatnonzero(new)
     many = np.diff(np.append(at, len(t))) > 1
     key = np.cumsum(new_key[at]) - 1

@@ -9,9 +9,12 @@ how far: so it is known which symbols every occurrence of a window has inside, w
 stands around it.
 
 A window's key is the longest such symbol inside (the greatest hash among equals). A
-window too regular for one takes its word of greatest hash. Windows with a shared key are
-then verified word by word; see :mod:`repeats` for the frame and for nulls, empty texts,
-ties and repeated rows.
+window too regular for one takes its word of greatest hash. The Spark rounds exchange these
+symbols over all documents and verify those that are shared; see :mod:`repeats` for what
+equality rests on, and for nulls, empty and very long texts, ties and repeated rows.
+
+A dictionary of names that a Spark round would build for each level isn't used: see the
+README for its size as measured.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
 
 
 def verified(h: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of the strings occur twice; equal hashes are compared word by word."""
+    """Which windows of the strings occur twice; windows of equal hashes are compared by the hashes of their words, one by one."""
     at = windows(n, length)
     g = K.grams(h, length)[at] if len(at) else np.zeros(0, np.uint64)
     order = np.argsort(g, kind="stable")
