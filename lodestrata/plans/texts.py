@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
 from lodestrata.operators import dup, search
-from lodestrata.runtime import table
+from lodestrata.runtime import cut, table
 
 T = 20
 QUERIES: dict = {}
@@ -75,7 +75,7 @@ kept AS (SELECT language, gram, first_file, first_pos, list_reduce(list_transfor
 def clone_overlap_suppressed(spark, sf_dir):
     _, occ, classes = _classes(spark, sf_dir)
     found = dup.members(occ, classes.where("left_maximal"))
-    return dup.suppress_overlaps(found, [*dup.KEY, "first_file", "first_pos"]).select("language", "first_file", "first_pos", F.size("kept").alias("n"))
+    return dup.suppress_overlaps(found, [*dup.KEY, "first_file", "first_pos"]).select("language", "first_file", "first_pos", "n")
 
 
 @query(f"""WITH {EXTENDED}, {SUPPRESSED}
@@ -84,11 +84,9 @@ SELECT DISTINCT ON (sites, length) language, first_file, first_pos, length, n FR
 def clone_impact_topk(spark, sf_dir):
     """The 50 clone classes of greatest length times occurrences; classes at the same places and of the same length count once."""
     files, occ, classes = _classes(spark, sf_dir)
-    found = dup.members(occ, classes.where("left_maximal"))
+    found = cut(dup.members(occ, classes.where("left_maximal")))
     keys = [*dup.KEY, "first_file", "first_pos"]
-    both = dup.suppress_overlaps(found, keys).join(dup.extended(found, files, T), keys)
-    sites = F.transform("kept", lambda x: F.struct(x["file"].alias("f"), x["start_row"].alias("s")))
-    one = both.select("language", "first_file", "first_pos", "length", F.size("kept").alias("n"), sites.alias("sites"))
+    one = dup.suppress_overlaps(found, keys).join(dup.extended(found, files, T), keys)
     one = one.groupBy("sites", "length").agg(F.min_by(F.struct("language", "first_file", "first_pos", "n"), F.struct("first_file", "first_pos")).alias("x")).select("x.*", "length")
     order = Window.orderBy((F.col("length") * F.col("n")).desc(), "first_file", "first_pos", "length")
     top = one.orderBy((F.col("length") * F.col("n")).desc(), "first_file", "first_pos", "length").limit(50)
@@ -115,7 +113,7 @@ SELECT matched, count(DISTINCT cid) AS n_classes, count(*) AS n_places FROM s8 G
 def clone_gap_stitched(spark, sf_dir):
     """Left-maximal classes at their full length after gap stitching: (matched, n_classes, n_places)."""
     files, occ, classes = _classes(spark, sf_dir)
-    found = dup.members(occ, classes.where("left_maximal"))
+    found = cut(dup.members(occ, classes.where("left_maximal")))
     full = found.join(dup.extended(found, files, T), [*dup.KEY, "first_file", "first_pos"])
     c = full.select((F.col("first_file") * 10_000_000 + F.col("first_pos")).alias("cid"), "file", F.col("pos").alias("start"), (F.col("pos") + F.col("length")).alias("end"), F.col("length").alias("matched"))
     return dup.stitch(c, 15).groupBy("matched").agg(F.countDistinct("cid").alias("n_classes"), F.count("*").alias("n_places"))

@@ -37,8 +37,23 @@ def test_gram_classes_are_the_shared_prefixes(spark):
 
 def test_suppression_is_greedy(spark):
     rows = [(1, 7, 1, 5), (1, 7, 4, 9), (1, 7, 6, 8), (1, 8, 1, 1), (2, 7, 1, 5), (2, 7, 5, 9)]
-    got = dup.suppress_overlaps(spark.createDataFrame(rows, "c int, file long, start_row int, end_row int"), ["c"]).collect()
-    assert [(x["c"], [tuple(y) for y in x["kept"]]) for x in got] == [(1, [(7, 1, 5), (7, 6, 8), (8, 1, 1)])]
+    found = spark.createDataFrame(rows, "c int, file long, start_row int, end_row int")
+    assert sorted(tuple(x) for x in dup.kept_places(found, ["c"]).collect()) == [(1, 7, 1, 5), (1, 7, 6, 8), (1, 8, 1, 1), (2, 7, 1, 5)]
+    got = dup.suppress_overlaps(found, ["c"]).collect()
+    assert [(x["c"], x["n"], tuple(x["place"])) for x in got] == [(1, 3, (7, 1, 5))]
+
+
+def test_long_extensions(spark):
+    """Shared prefixes around the width of a round and its powers, to a file's end and before it."""
+    lengths = [20, 21, 51, 52, 53, 83, 84, 1043, 1044, 1045, 1100, 40_000]
+    rows = []
+    for k, n in enumerate(lengths):
+        shared = [f"w{k}_{i}" for i in range(n)]
+        rows += [(3 * k, ["x", *shared]), (3 * k + 1, ["y", *shared, "end", "z"]), (3 * k + 2, ["v", *shared, "other"])]
+    files = spark.createDataFrame([(i, "en", w, list(range(len(w)))) for i, w in rows], "file long, language string, words array<string>, rows array<int>")
+    occ = dup.occurrences(files, 20)
+    got = dup.extended(dup.members(occ, dup.gram_classes(occ).where("left_maximal")), files, 20).collect()
+    assert {x["first_file"] // 3: x["length"] for x in got} == dict(enumerate(lengths)) and len(got) == len(lengths)
 
 
 def test_stitching(spark):
