@@ -35,7 +35,7 @@ FUNCTION_RULES = [
     Rule("narrating_code", "ceil(100 * comment_lines / greatest(end_line - start_line + 1, 1))", 30, "info", "comment_lines >= 5"),
     Rule("heavy_nested_function", "end_line - start_line + 1", 15, where="is_nested"),
     Rule("deep_nesting", "max_nesting", 4),
-    Rule("long_parameter_list", "size(params) - cast(coalesce(params[0], '') in ('self', 'cls') as int)", 5, on=False),
+    Rule("long_parameter_list", "size(params) - cast(coalesce(get(params, 0), '') in ('self', 'cls') as int)", 5, on=False),
     Rule("too_many_returns", "returns", 4, on=False),
     Rule("magic_numbers", "magic_numbers", 0, "info", on=False),
     Rule("message_chain", "chain_depth", 4),

@@ -337,14 +337,12 @@ def entry_class_closure(spark, sf_dir):
     return dead.entry_classes(b, ["TestCase"]).select(F.col("class").cast("long").alias("unit"), (F.col("class").cast("long") % 10).alias("file"))
 
 
-@query("""WITH u AS (SELECT doc_id AS k, source AS f, n_chars % 7 + 1 AS a, doc_id % 5 + 1 AS b FROM documents WHERE n_chars >= 20),
-p AS (SELECT x.k AS a, y.k AS b, (x.a * y.a + x.b * y.b) / (sqrt(x.a * x.a + x.b * x.b) * sqrt(y.a * y.a + y.b * y.b)) AS c, x.k % 3 = y.k % 3 AS same FROM u x JOIN u y ON x.k < y.k AND x.f <> y.f AND least(x.a + x.b, y.a + y.b) >= greatest(x.a + x.b, y.a + y.b) * 0.55)
-SELECT count(*) AS n, count(DISTINCT a) AS firsts, CAST(sum(a + b) AS BIGINT) AS ids FROM p WHERE c >= 0.99 AND same""")
+@query("""WITH u AS (SELECT s_suppkey AS k, s_nationkey AS f, s_suppkey % 7 + 1 AS a, s_nationkey % 5 + 1 AS b FROM supplier),
+p AS (SELECT x.k AS a, y.k AS b, (x.a * y.a + x.b * y.b) / (sqrt(x.a * x.a + x.b * x.b) * sqrt(y.a * y.a + y.b * y.b)) AS c FROM u x JOIN u y ON x.k < y.k AND x.f <> y.f AND x.k % 3 = y.k % 3 AND least(x.a + x.b, y.a + y.b) >= greatest(x.a + x.b, y.a + y.b) * 0.55)
+SELECT a, b, round(c, 9) AS cosine FROM p WHERE c >= 0.99""")
 def semantic_pairs(spark, sf_dir):
-    """Documents as functions, alike in a shape of two counts and in one of three comment vectors, in different sources; their pairs counted."""
-    d = table(spark, sf_dir, "documents").where("n_chars >= 20")
-    a, b = (F.col("n_chars") % 7 + 1).cast("int"), (F.col("doc_id") % 5 + 1).cast("int")
-    axis = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(F.col("doc_id") % 3 == i, 1.0).otherwise(0.0))
-    u = d.select(F.col("doc_id").alias("unit"), F.col("source").alias("file"), F.array(a, b).alias("shape"), (a + b).alias("size"), axis.alias("vector"), F.lit(9).alias("n_words"))
-    p = dup.semantic_pairs(u, shape=0.99, tokens=0)
-    return p.agg(F.count("*").alias("n"), F.countDistinct("a").alias("firsts"), F.sum(F.col("a") + F.col("b")).alias("ids"))
+    """Suppliers as functions, nations as files: alike in a shape of two counts and in one of three comment vectors, in different nations."""
+    a, b = (F.col("s_suppkey") % 7 + 1).cast("int"), (F.col("s_nationkey") % 5 + 1).cast("int")
+    axis = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(F.col("s_suppkey") % 3 == i, 1.0).otherwise(0.0))
+    u = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_nationkey").alias("file"), F.array(a, b).alias("shape"), (a + b).alias("size"), axis.alias("vector"), F.lit(9).alias("n_words"))
+    return dup.semantic_pairs(u, shape=0.99, tokens=0).select("a", "b", F.round("cosine", 9).alias("cosine"))

@@ -167,3 +167,140 @@ def test_transcripts_and_logs(spark, tmp_path):
     assert trees.event_log(spark, str(tmp_path / "log")).count() == 2
     (tmp_path / "lodestrata.toml").write_text("a = [")
     assert trees.config(str(tmp_path))[1]
+
+
+GOLDEN = {
+    "pkg/__init__.py": "from pkg.shapes import Shown\n",
+    "pkg/shapes.py": textwrap.dedent(
+        """
+        from abc import ABC, abstractmethod
+        import unittest
+
+        class Base:
+            size: int
+            lost: int
+
+            def area(self):
+                return self.size
+
+            def gone(self):
+                return 0
+
+        class Child(Base):
+            def area(self):
+                return 1
+
+            def _secret(self):
+                return 2
+
+            def named(self):
+                return 3
+
+        def peek(base: Base):
+            return base._inner
+
+        class Shown:
+            def public(self):
+                return 1
+
+        class Cases(unittest.TestCase):
+            def helper_of_framework(self):
+                return 1
+
+        class Port(ABC):
+            @abstractmethod
+            def run(self):
+                ...
+
+        class A(Port):
+            def run(self): return 1
+            def a1(self): return 1
+            def a2(self): return 1
+
+        class B(Port):
+            def run(self): return 2
+            def b1(self): return 2
+            def b2(self): return 2
+        """
+    ),
+    "pkg/use.py": textwrap.dedent(
+        """
+        from pkg.shapes import Base, Child, A, B, Port
+
+        def caller(base: Base, other, row: dict):
+            base.area()
+            other.named()
+            base._inner
+            return fill(row)
+
+        def fill(record):
+            return record["a"], record["b"], record["c"], record["d"]
+
+        class Envious:
+            def envy(self, base: Base):
+                self.x = 1
+                return base.p + base.q + base.r
+
+        def one(host, port, user, word): return host
+        def two(host, port, user, word): return port
+        def three(host, port, user, word): return user
+
+        def loops(items, session):
+            for x in items:
+                session.execute(x)
+            for y in items:
+                helper(y)
+            for z in (1, 2):
+                for w in range(3):
+                    pass
+
+        def helper(y):
+            while y:
+                y -= 1
+
+        @app.route("/")
+        def registered():
+            return 1
+
+        @strange
+        def unsure():
+            return 1
+
+        def plain():
+            return caller(1, 2, {}), Envious, A, B, Port, Child
+        """
+    ),
+    "main.py": "from pkg.use import one, two, three, loops\nfrom pkg import shapes\nprint(one, two, three, loops, shapes)\n",
+    "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["web/*"] /* all */}}}',
+    "web/a.ts": "import { used } from '@/b'\nexport const a = used\n",
+    "web/b.ts": "export const used = 1\nexport const unused = 2\n",
+}
+
+
+def test_golden_findings(spark, tmp_path):
+    """What has to be reported of a small project, and what mustn't."""
+    for name, text in GOLDEN.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    have = {(x["kind"], x["symbol"]) for x in engine.analyze(spark, str(tmp_path), tokens=500, every=True, rules=[("nothing", "absent", "pkg")]).collect()}
+    contains = {
+        ("method", "Base.gone"), ("method", "Child._secret"), ("property", "Base.lost"), ("function", "plain"), ("unmatched_rule", "nothing"), ("declaration", "unused"), ("inappropriate_intimacy", "peek"), ("implicit_schema", "fill"),
+        ("implicit_schema", "caller"), ("feature_envy", "Envious.envy"), ("data_clump", "host,port,user,word"), ("divergent_abstraction", "Port"), ("repeated_iteration", "loops"), ("n_plus_one_call", "loops->execute"), ("nested_loop", "loops"), ("method", "A.a1"),
+    }
+    absent = {
+        ("inappropriate_intimacy", "caller"),
+        ("method", "Base.area"), ("method", "Child.area"), ("method", "Child.named"), ("method", "Shown.public"), ("method", "Cases.helper_of_framework"), ("property", "Base.size"), ("function", "registered"), ("function", "unsure"), ("function", "helper"), ("declaration", "used"), ("class", "Cases"), ("class", "Shown"),
+    }
+    assert contains <= have, contains - have
+    assert not absent & have, absent & have
+
+
+def test_bounded_loops_dont_nest():
+    (f,) = rows("def f(xs):\n    for a in (1, 2):\n        for b in range(3):\n            for c in xs:\n                pass\n", "functions")
+    assert f["nested_loops"] == 0 and f["loops"] == 1
+
+
+def test_use_trees():
+    assert lexers.use_leaves("crate::a::{self, b::{C, D as E}, f::*}") == ["crate::a", "crate::a::b::C", "crate::a::b::D", "crate::a::f::*"]
+    assert trees.jsonc('{"a": "x // y", /* c */ "b": [1, 2,],}') == {"a": "x // y", "b": [1, 2]}
