@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestrata.runtime import shared_dir, ship
+from lodestrata.runtime import partitions, shared_dir, ship
 
 LIMIT, DEFER_S, FORGET_S = 2, 3 * 86400, 5 * 86400
 
@@ -79,8 +80,22 @@ def _shown(key, rows: pd.DataFrame, state) -> tuple[tuple, pd.DataFrame]:
 def deferred(events: DataFrame) -> DataFrame:
     """(user_id, event_type, event_id, shown) of a batch, each key's appearances in order of time."""
     ship(events.sparkSession)
-    rows = events.select("user_id", "event_type", "event_id", "ts")
-    return rows.groupBy("user_id", "event_type").applyInPandas(lambda key, pdf: _shown(key, pdf, NEW)[1], SHOWN)
+
+    def run(batches):
+        key, state = None, NEW
+        for b in batches:
+            shown = []
+            for u, e, t in zip(b.column("user_id").to_pylist(), b.column("event_type").to_pylist(), b.column("t").to_pylist()):
+                if key != (u, e):
+                    key, state = (u, e), NEW
+                state, seen = defer(state, t / 1e6)
+                shown.append(seen)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("user_id", "event_type", "event_id")), pa.array(shown, pa.bool_())], ["user_id", "event_type", "event_id", "shown"])
+
+    # a task goes through its keys one after the other, as a group of its own for each costs more than its rows
+    rows = events.select("user_id", "event_type", "event_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(2**63))).alias("t"))
+    rows = rows.repartition(partitions(events.sparkSession), "user_id", "event_type").sortWithinPartitions("user_id", "event_type", "t", "event_id")
+    return rows.mapInArrow(run, SHOWN)
 
 
 def deferred_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
