@@ -20,6 +20,9 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, key: str = "id",
     return vectors.select(F.col(key), dot(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+CELLS = 1 << 19  # scores that a worker holds at once
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", vector: str = "vector", block: int = 1024) -> DataFrame:
     """(query, key, score) of the ``k`` vectors of greatest dot product for each row of ``queries``; equal scores by key.
 
@@ -50,9 +53,11 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
                 x, ids = x[ok], t.column("id").filter(pa.array(ok))
                 order = np.array(pc.sort_indices(ids))
                 x, ids = x[order], ids.take(pa.array(order))
-                best = np.argsort(-(m @ x.T), axis=1, kind="stable")[:, :k]
-                at, i = np.repeat(np.arange(len(m)), best.shape[1]), best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(names, ids.type).take(pa.array(at)), ids.take(pa.array(i)), pa.array((m[at] * x[i]).sum(axis=1))], ["query", "id", "score"])
+                for q in range(0, len(m), max(1, CELLS // len(x))):  # so many queries that their scores are a few MB
+                    some = m[q : q + max(1, CELLS // len(x))]
+                    best = np.argsort(-(some @ x.T), axis=1, kind="stable")[:, :k]
+                    at, i = np.repeat(np.arange(len(some)), best.shape[1]), best.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q : q + len(some)], ids.type).take(pa.array(at)), ids.take(pa.array(i)), pa.array((some[at] * x[i]).sum(axis=1))], ["query", "id", "score"])
 
         got = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInArrow(run, f"query {kind}, id {kind}, score double")
         out = got if out is None else out.union(got)
