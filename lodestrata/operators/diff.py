@@ -13,20 +13,29 @@ CHUNK = 1 << 16  # lines of a diff that one task takes at most
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
-def running(rows: DataFrame, last: dict[str, Column], total: dict[str, Column] | None = None) -> DataFrame:
-    """``rows`` of diffs (diff, n, ...) with each ``last`` value that isn't null up to a line, and each ``total`` up to it.
+def running(rows: DataFrame, last: dict[str, Column], total: dict[str, Column] | None = None, marks: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """``rows`` of diffs (diff, n, ...) with each ``last`` value that isn't null up to a line, each ``total`` up to it, and for each of ``marks`` what its total was at the last line that is marked.
 
-    Chunks of a diff are taken by different tasks; what they begin with comes from one row for each chunk before.
+    Chunks of a diff are taken by different tasks; what they begin with comes from one row for each chunk before. Diffs of one chunk need none.
     """
-    total = total or {}
+    total, marks = total or {}, marks or {}
     w = Window.partitionBy("diff", "__c").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("__c", F.floor(F.col("n") / CHUNK))
-    own = own.withColumns({f"__{k}": F.last(v, ignorenulls=True).over(w) for k, v in last.items()} | {f"__{k}": F.sum(v).over(w) for k, v in total.items()})
-    ends = own.groupBy("diff", "__c").agg(*[F.max_by(f"__{k}", "n").alias(k) for k in [*last, *total]])
+
+    def within(x: DataFrame) -> DataFrame:
+        x = x.withColumn("__c", F.floor(F.col("n") / CHUNK))
+        x = x.withColumns({f"__{k}": F.last(v, ignorenulls=True).over(w) for k, v in last.items()} | {f"__{k}": F.sum(v).over(w) for k, v in total.items()})
+        return x.withColumns({f"__{k}": F.last(F.when(v, F.col(f"__{t}")), ignorenulls=True).over(w) for k, (t, v) in marks.items()}) if marks else x
+
+    names = [*last, *total, *marks]
+    long = rows.where(F.col("n") >= CHUNK).select("diff").distinct()
+    ends = within(rows.join(long, "diff", "left_semi")).groupBy("diff", "__c").agg(*[F.max_by(f"__{k}", "n").alias(k) for k in names])
     before = Window.partitionBy("diff").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    begin = ends.select("diff", "__c", *[F.last(k, ignorenulls=True).over(before).alias(f"__b{k}") for k in last], *[F.sum(k).over(before).alias(f"__b{k}") for k in total])
-    got = own.join(begin, ["diff", "__c"]).withColumns({k: F.coalesce(f"__{k}", f"__b{k}") for k in last} | {k: F.col(f"__{k}") + F.coalesce(f"__b{k}", F.lit(0)) for k in total})
-    return got.drop("__c", *[f"__{k}" for k in [*last, *total]], *[f"__b{k}" for k in [*last, *total]])
+    ends = ends.withColumns({f"__b{k}": F.coalesce(F.sum(k).over(before), F.lit(0)) for k in total}) if total else ends
+    begin = ends.select("diff", "__c", *[F.last(k, ignorenulls=True).over(before).alias(f"__b{k}") for k in last], *[f"__b{k}" for k in total], *[F.last(F.col(k) + F.col(f"__b{t}"), ignorenulls=True).over(before).alias(f"__b{k}") for k, (t, _) in marks.items()])
+    start = lambda k: F.coalesce(f"__b{k}", F.lit(0))
+    got = within(rows).join(begin, ["diff", "__c"], "left")
+    got = got.withColumns({k: F.coalesce(f"__{k}", f"__b{k}") for k in last} | {k: F.col(f"__{k}") + start(k) for k in total} | {k: F.coalesce(F.col(f"__{k}") + start(t), F.col(f"__b{k}")) for k, (t, _) in marks.items()})
+    return got.drop("__c", *[f"__{k}" for k in names], *[f"__b{k}" for k in names])
 
 
 def _diffs(lines: DataFrame) -> DataFrame:
@@ -52,8 +61,7 @@ def added_lines(lines: DataFrame) -> DataFrame:
     other = line.startswith("+++ ") | line.startswith("--- ") | line.startswith("diff ") | line.startswith("index ") | line.startswith("? ")
     here = (~head & ~other & ~line.startswith("-") & ~line.startswith("\\")).cast("long")
     name = F.when(line.startswith("+++ "), F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1))
-    rows = running(_diffs(lines), {"file": name, "lo": F.when(head, F.regexp_extract("line", HUNK, 1).cast("long"))}, {"at": here})
-    rows = running(rows, {"base": F.when(head, F.col("at"))}).where(~other & ~head & F.col("lo").isNotNull())
+    rows = running(_diffs(lines), {"file": name, "lo": F.when(head, F.regexp_extract("line", HUNK, 1).cast("long"))}, {"at": here}, {"base": ("at", head)}).where(~other & ~head & F.col("lo").isNotNull())
     return rows.where(F.col("line").startswith("+")).select("file", (F.col("lo") + F.col("at") - F.col("base") - 1).alias("line_no"), F.substr("line", F.lit(2)).alias("text"))
 
 
