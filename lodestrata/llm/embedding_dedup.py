@@ -10,7 +10,7 @@ inverted list of its nearest centroid with its codes and the length of the error
 make. Every vector is a query and probes the lists of its nearest centroids. How many is
 measured: each vector is moved by D in a random direction; it and its moved copy may find
 each other from either side, and the probes have to suffice for the share ``recall`` of
-these pairs; at a recall of 1 all lists are probed. Closer pairs are found more often. Lists whose radius plus D doesn't reach the
+these pairs. Closer pairs are found more often. Lists whose radius plus D doesn't reach the
 query are left out. Queries and members go to the lists as half-precision vectors, members
 with their codes. Table look-ups give the distance to a member's decoded vector; a member
 stays a candidate if that is D plus the member's error and the rounding at most, so none
@@ -19,6 +19,9 @@ right to within ``BAND``; those that are nearer than that to the threshold are d
 exact cosine of their whole vectors, fetched for them alone. Lists are split into blocks of
 members and of queries, so no task holds more than a block of each.
 
+At a recall of 1 there are no lists, as each vector would go to nearly all of them: the vectors are dealt
+into blocks of ``WIDE`` at most, and every two blocks are multiplied in a task of their own.
+
 Null vectors, vectors of another dimension than most, with nulls or NaNs, and zero vectors
 are in no group, nor is a null vec_id. Equal vectors are collapsed first. Repeated rows of
 a vec_id count once if their vectors are equal; otherwise the vec_id takes part with each.
@@ -41,6 +44,7 @@ from lodestrata.runtime import cut, ship
 
 COSINE, SUBSPACES, CODES, ROUNDS, BLOCK, RECALL = 0.95, 8, 256, 3, 4096, 0.999
 SLACK = 1e-5  # for rounding
+WIDE, COPIES, PAIRS = 1 << 15, 1 << 18, 1 << 22  # vectors of a block at a recall of 1; copies of vectors that are dealt out at once; pairs that a task holds before it keeps those that join components
 HALF, BAND = 5e-4, 1.2e-3  # of a half-precision unit vector: its error's length at most; error of a cosine of two
 
 
@@ -107,12 +111,61 @@ def _means(vectors: DataFrame, part, slots: int, width: int) -> np.ndarray:
     return out
 
 
+def _joining(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few edges as join the components of the edges (a, b)."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    lab = least(len(ids), at[: len(a)], at[len(a) :])
+    at = np.flatnonzero(lab != np.arange(len(ids)))
+    return ids[at], ids[lab[at]]
+
+
+def exact_edges(vectors: DataFrame, n: int, dim: int, cosine: float = COSINE, spanning: bool = True) -> DataFrame:
+    """As :func:`near_edges`, of all pairs of the ``n`` vectors: those of two blocks are compared in one task, which holds these blocks and a strip of their products."""
+    ship(vectors.sparkSession)
+    blocks = max(-(-n // WIDE), min(16, -(-n // 512)))
+
+    def pack(batches):
+        for b in batches:
+            ids, v = b.column("id").to_numpy(), _matrix(b.column("v"), dim)
+            block = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)
+            order = np.argsort(block, kind="stable")
+            parts = [x for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[x[0]]) for x in parts], pa.int32()), *(pa.array([y[x].tobytes() for x in parts], pa.binary()) for y in (ids, v))], ["block", "ids", "v"])
+
+    def compare(key, t):
+        low, high = (x.as_py() for x in key)
+        block, (ids, v) = np.array(t["block"].to_pylist()), (t[c].to_pylist() for c in ("ids", "v"))
+        take = lambda x, j, kind: np.frombuffer(b"".join(x[i] for i in np.flatnonzero(block == j)), kind)
+        p, x, q, y = take(ids, low, np.int64), take(v, low, np.float32).reshape(-1, dim), take(ids, high, np.int64), take(v, high, np.float32).reshape(-1, dim)
+        a, b, held = [], [], 0
+        for i in range(0, len(p), 128):
+            near = np.flatnonzero(x[i : i + 128] @ y.T >= np.float32(cosine - SLACK))
+            for s in range(0, len(near), 1 << 16):
+                r, c = np.divmod(near[s : s + (1 << 16)], len(q))
+                r, c = r[p[i + r] != q[c]] + i, c[p[i + r] != q[c]]
+                ok = (x[r].astype(np.float64) * y[c]).sum(axis=1) >= cosine
+                a.append(p[r[ok]])
+                b.append(q[c[ok]])
+                held += len(a[-1])
+                if spanning and held > PAIRS:
+                    a, b = ([z] for z in _joining(np.concatenate(a), np.concatenate(b)))
+                    held = 0
+        a, b = (np.concatenate(z or [np.zeros(0, np.int64)]) for z in (a, b))
+        return pa.table(dict(zip("ab", _joining(a, b) if spanning else (a, b))))
+
+    j = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j")
+    pairs = vectors.mapInArrow(pack, "block int, ids binary, v binary").select("block", "ids", "v", j)
+    return pairs.groupBy(F.least("block", "j").alias("low"), F.greatest("block", "j").alias("high")).applyInArrow(compare, "a long, b long")
+
+
 def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces: int = SUBSPACES, codes: int = CODES, block: int = BLOCK, spanning: bool = True, recall: float = RECALL) -> DataFrame | None:
     """(a, b): pairs of ids whose cosine is ``cosine`` at least, from distinct (id, v); with ``spanning`` only as many as join their components."""
     ship(vectors.sparkSession)
     n = vectors.count()
     if n < 2:
         return None
+    if recall >= 1:
+        return exact_edges(vectors, n, dim, cosine, spanning)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     k = math.ceil(math.sqrt(n))
     m = max(x for x in range(1, min(subspaces, dim) + 1) if dim % x == 0)
@@ -186,7 +239,7 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
     ranks = lists.select("id", "v", "cell").mapInArrow(rank, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toArrow()
     share = np.zeros(k)
     share[ranks["rank"].to_numpy()] = ranks["n"].to_numpy()
-    near = k if recall >= 1 else min(k, 1 + int(np.searchsorted(np.cumsum(share), recall * share.sum())))
+    near = min(k, 1 + int(np.searchsorted(np.cumsum(share), recall * share.sum())))
 
     def probes(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lists that each vector probes."""
@@ -212,9 +265,10 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
     asked[load["cell"].to_numpy()] = load["n"].to_numpy()
     mb, qb = np.maximum(1, -(-held // block)), np.maximum(1, -(-asked // block))
     base = np.concatenate([[0], np.cumsum(mb * qb)])
+    step = max(1, COPIES // (near * int(mb.max()) + int(qb.max())))
 
     def spread(batches):
-        for b in batches:
+        for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             v, q, cell = probes(b)
             ids, own = b.column("id").to_numpy(), b.column("cell").to_numpy()
             salt = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -242,6 +296,15 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
                 ["unit", "kind", "ids", "v", "code", "error"],
             )
 
+    def fewer(a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As few sure edges as join their components, and the open ones between these."""
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        lab = least(len(ids), x[sure], y[sure])
+        open_ = ~sure & (lab[x] != lab[y])
+        at = np.flatnonzero(lab != np.arange(len(ids)))
+        return np.concatenate([ids[at], a[open_]]), np.concatenate([ids[lab[at]], b[open_]]), np.arange(len(at) + int(open_.sum())) < len(at)
+
     def search(t: pa.Table) -> pa.Table:
         u = t["unit"][0].as_py()
         cell = int(np.searchsorted(base, u, "right")) - 1
@@ -254,7 +317,7 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
         qid, mid = take("ids", 0, np.int64), take("ids", 1, np.int64)
         qv, mv = take("v", 0, np.float16).astype(np.float32).reshape(-1, dim), take("v", 1, np.float16).astype(np.float32).reshape(-1, dim)
         q, limit = take("code", 1, np.uint8).reshape(-1, m), (reach + take("error", 1, np.float32) + HALF + SLACK) ** 2
-        a, b, c = [], [], []
+        a, b, c, held = [], [], [], 0
         for i in range(0, len(qid), 256):
             r = qv[i : i + 256] - cent[cell]
             d = np.zeros((len(r), len(mid)), np.float32)
@@ -269,14 +332,13 @@ def near_edges(vectors: DataFrame, dim: int, cosine: float = COSINE, subspaces:
                 a.append(qid[x1[ok]])
                 b.append(mid[y1[ok]])
                 c.append(cos[ok] >= cosine + BAND)
+                held += len(c[-1])
+                if spanning and held > PAIRS:
+                    a, b, c = ([z] for z in fewer(*(np.concatenate(z) for z in (a, b, c))))
+                    held = 0
         a, b, sure = (np.concatenate(x or [np.zeros(0, kind)]) for x, kind in ((a, np.int64), (b, np.int64), (c, bool)))
         if spanning and len(a):
-            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            x, y = at[: len(a)], at[len(a) :]
-            lab = least(len(ids), x[sure], y[sure])
-            open_ = ~sure & (lab[x] != lab[y])
-            at = np.flatnonzero(lab != np.arange(len(ids)))
-            a, b, sure = np.concatenate([ids[at], a[open_]]), np.concatenate([ids[lab[at]], b[open_]]), np.arange(len(at) + int(open_.sum())) < len(at)
+            a, b, sure = fewer(a, b, sure)
         return pa.table({"a": a, "b": b, "sure": sure})
 
     work = lists.mapInArrow(spread, "unit long, kind int, ids binary, v binary, code binary, error binary")
